@@ -32,10 +32,13 @@ def range_layout(df: DataFrame, keys: Sequence, weights: Sequence[str] = ()) ->
     parts = laid.groupBy("_pid").agg(
         F.count(F.lit(1)).alias("_rows"), *[F.sum(w).alias(f"_part_{w}") for w in weights])
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    whole = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = parts.select(
         "_pid",
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"),
+        F.sum("_rows").over(whole).alias("_all_rows"),
         *[F.coalesce(F.sum(f"_part_{w}").over(before), F.lit(0)).alias(f"_off_{w}") for w in weights],
+        *[F.sum(f"_part_{w}").over(whole).alias(f"_all_{w}") for w in weights],
     )
     laid = laid.join(F.broadcast(offsets), "_pid").withColumn(
         "_pos", F.col("_offset") + F.col("_mid").bitwiseAND(F.lit((1 << _IDX_BITS) - 1)))
@@ -45,21 +48,17 @@ def range_layout(df: DataFrame, keys: Sequence, weights: Sequence[str] = ()) ->
     return laid.drop("_offset", *[f"_off_{w}" for w in weights])
 
 
-def _spread(laid: DataFrame, keys: Sequence[str], aggs: Mapping[str, tuple[str, Column]]) -> DataFrame:
+def _spread(laid: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column]) -> DataFrame:
     """Attach per-key aggregates: local windows inside a partition, a broadcast for keys that span several."""
     local = Window.partitionBy("_pid", *keys)
-    if not keys:  # one global group: scalar subqueries, no join
-        for name, (_, expr) in aggs.items():
-            laid = laid.withColumn(name, laid.agg(expr.alias(name)).scalar())
-        return laid
     spanning = (
         laid.groupBy(*keys)
         .agg(F.min("_pid").alias("_p0"), F.max("_pid").alias("_p1"),
-             *[expr.alias(f"_s_{name}") for name, (_, expr) in aggs.items()])
+             *[expr.alias(f"_s_{name}") for name, expr in aggs.items()])
         .filter(F.col("_p0") < F.col("_p1")).drop("_p0", "_p1")
     )
     out = laid.join(F.broadcast(spanning), list(keys), "left")
-    for name, (_, expr) in aggs.items():
+    for name, expr in aggs.items():
         out = out.withColumn(name, F.coalesce(F.col(f"_s_{name}"), expr.over(local)))
     return out.drop(*[f"_s_{name}" for name in aggs])
 
@@ -72,19 +71,25 @@ def positions(
     Weights must be non-negative.  With ties, `<w>_below` counts only rows strictly below the tied value.
     """
     laid = range_layout(df, [*groups, *order], weights)
-    aggs = {"_start": ("min", F.min("_pos")), "group_n": ("n", F.count(F.lit(1)))}
-    for w in weights:
-        aggs[f"_wstart_{w}"] = ("min", F.min(f"_cum_{w}"))
-        aggs[f"{w}_total"] = ("sum", F.sum(w))
-    out = _spread(laid, groups, aggs).withColumn("pos", F.col("_pos") - F.col("_start"))
+    if groups:
+        aggs = {"_start": F.min("_pos"), "group_n": F.count(F.lit(1))}
+        for w in weights:
+            aggs[f"_wstart_{w}"] = F.min(f"_cum_{w}")
+            aggs[f"{w}_total"] = F.sum(w)
+        out = _spread(laid, groups, aggs)
+    else:  # one global group: the partition table already holds its totals
+        out = laid.withColumns({"_start": F.lit(0), "group_n": F.col("_all_rows")})
+        for w in weights:
+            out = out.withColumns({f"_wstart_{w}": F.lit(0), f"{w}_total": F.col(f"_all_{w}")})
+    out = out.withColumn("pos", F.col("_pos") - F.col("_start"))
     for w in weights:
         out = out.withColumn(f"{w}_before", F.col(f"_cum_{w}") - F.col(f"_wstart_{w}"))
     if ties:
-        run = {"tie_first": ("min", F.min("pos")), "tie_last": ("max", F.max("pos"))}
+        run = {"tie_first": F.min("pos"), "tie_last": F.max("pos")}
         for w in weights:
-            run[f"{w}_below"] = ("min", F.min(f"{w}_before"))
+            run[f"{w}_below"] = F.min(f"{w}_before")
         out = _spread(out, [*groups, *ties], run)
-    return out.drop("_mid", "_pid", "_pos", "_start", *[f"_cum_{w}" for w in weights], *[f"_wstart_{w}" for w in weights])
+    return out.drop("_mid", "_pid", "_pos", "_start", "_all_rows", *[f"_{x}_{w}" for w in weights for x in ("cum", "wstart", "all")])
 
 
 def midranks(df: DataFrame, groups: Sequence[str], value: str, tie: str, out: str = "midrank") -> DataFrame:
@@ -104,15 +109,15 @@ def quantiles(
     """
     groups = list(groups)
     structs = [
-        F.struct(F.lit(name).alias("measure"), (F.col(c) if isinstance(c, str) else c).cast("double").alias("value"))
+        F.struct(F.lit(name).alias("_measure"), (F.col(c) if isinstance(c, str) else c).cast("double").alias("_value"))
         for name, c in measures.items()
     ]
     long = df.select(*groups, *tie, F.explode(F.array(*structs)).alias("_m")).select(
-        *groups, *tie, "_m.measure", "_m.value").filter(F.col("value").isNotNull())
-    laid = range_layout(long, [*groups, "measure", "value", *tie])
-    spans = laid.groupBy(*groups, "measure").agg(F.min("_pos").alias("start"), F.count(F.lit(1)).alias("n"))
+        *groups, *tie, "_m._measure", "_m._value").filter(F.col("_value").isNotNull())
+    laid = range_layout(long, [*groups, "_measure", "_value", *tie])
+    spans = laid.groupBy(*groups, "_measure").agg(F.min("_pos").alias("start"), F.count(F.lit(1)).alias("n"))
     wanted = spans.select("*", F.explode(F.array(*[
-        F.struct(F.lit(label).alias("label"), F.lit(float(p)).alias("p")) for label, p in probs.items()])).alias("_q"))
+        F.struct(F.lit(label).alias("_prob"), F.lit(float(p)).alias("p")) for label, p in probs.items()])).alias("_q"))
     if method == "linear":
         x = F.col("_q.p") * (F.col("n") - 1)
         lo, frac = F.floor(x), x - F.floor(x)
@@ -123,17 +128,17 @@ def quantiles(
     else:
         raise ValueError(method)
     picks = wanted.select(
-        *groups, "measure", "n", F.col("_q.label").alias("label"),
+        *groups, "_measure", "n", F.col("_q._prob").alias("_prob"),
         F.explode(F.array(
-            F.struct((F.col("start") + lo).alias("at"), (1.0 - frac).alias("share")),
-            F.struct((F.col("start") + hi).alias("at"), frac.alias("share")))).alias("_w"),
-    ).select(*groups, "measure", "n", "label", F.col("_w.at").alias("_pos"), F.col("_w.share").alias("share"))
-    found = laid.select("_pos", "value").join(picks.filter("share > 0"), "_pos")
-    solved = found.groupBy(*groups, "measure", "label").agg(
-        F.sum(F.col("value") * F.col("share")).alias("q"), F.max("n").alias("n"))
+            F.struct((F.col("start") + lo).alias("at"), (1.0 - frac).alias("_share")),
+            F.struct((F.col("start") + hi).alias("at"), frac.alias("_share")))).alias("_w"),
+    ).select(*groups, "_measure", "n", "_prob", F.col("_w.at").alias("_pos"), F.col("_w._share").alias("_share"))
+    found = laid.select("_pos", "_value").join(picks.filter("_share > 0"), "_pos")
+    solved = found.groupBy(*groups, "_measure", "_prob").agg(
+        F.sum(F.col("_value") * F.col("_share")).alias("q"), F.max("n").alias("n"))
     return solved.groupBy(*groups).agg(
         F.max("n").alias("n"),
-        *[F.max(F.when((F.col("measure") == m) & (F.col("label") == label), F.col("q"))).alias(f"{label}_{m}")
+        *[F.max(F.when((F.col("_measure") == m) & (F.col("_prob") == label), F.col("q"))).alias(f"{label}_{m}")
           for m in measures for label in probs])
 
 
