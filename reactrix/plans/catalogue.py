@@ -1,4 +1,4 @@
 """Imports every plan module so that all queries are registered."""
 
-from . import aggregations, projections  # noqa: F401
-from .registry import ORACLES, QUERIES  # noqa: F401
+from . import aggregations, fits, projections  # noqa: F401
+from .registry import QUERIES, oracles  # noqa: F401

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from .oracle import with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+_TEXTS: dict[str, tuple[list[str], str]] = {}
 SHARED_SQL: dict[str, tuple[list[str], str]] = {}
 DIGITS = 6
 
@@ -36,10 +36,14 @@ def query(name: str, views=(), sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = lambda spark, sf_dir: present(fn(spark, sf_dir))
         if sql is not None:
-            ORACLES[name] = with_views(views, sql, SHARED_SQL)
+            _TEXTS[name] = (list(views), sql)
         return fn
     return register
 
 
 def shared_sql(name: str, needs, text: str) -> None:
     SHARED_SQL[name] = (list(needs), text)
+
+
+def oracles() -> dict[str, str]:
+    return {name: with_views(views, sql, SHARED_SQL) for name, (views, sql) in _TEXTS.items()}
