@@ -9,6 +9,7 @@ of groups and runs that span partitions hold at most one row per partition and m
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,44 +24,42 @@ def _keys(order: Sequence) -> list[Column]:
 
 
 def range_layout(df: DataFrame, keys: Sequence, weights: Sequence[str] = ()) -> DataFrame:
-    """Sorted, range-partitioned table with `_pid`, global `_pos` and running sums `_cum_<w>` before the row."""
+    """Sorted, range-partitioned table with `_pid`, global `_pos` and running sums `_cum_<w>` before the row.
+
+    Weights are whole numbers.
+    """
     keys = _keys(keys)
     laid = stage(
         df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_mid", F.monotonically_increasing_id()),
         "ordered",
     ).withColumn("_pid", F.shiftright("_mid", _IDX_BITS))
-    parts = laid.groupBy("_pid").agg(
-        F.count(F.lit(1)).alias("_rows"), *[F.sum(w).alias(f"_part_{w}") for w in weights])
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    whole = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    offsets = parts.select(
-        "_pid",
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"),
-        F.sum("_rows").over(whole).alias("_all_rows"),
-        *[F.coalesce(F.sum(f"_part_{w}").over(before), F.lit(0)).alias(f"_off_{w}") for w in weights],
-        *[F.sum(f"_part_{w}").over(whole).alias(f"_all_{w}") for w in weights],
-    )
-    laid = laid.join(F.broadcast(offsets), "_pid").withColumn(
-        "_pos", F.col("_offset") + F.col("_mid").bitwiseAND(F.lit((1 << _IDX_BITS) - 1)))
+    parts = laid.groupBy("_pid").agg(F.count(F.lit(1)).alias("_rows"), *[F.sum(w).alias(w) for w in weights])
+    rows = {r["_pid"]: r for r in parts.collect()}  # one small row per range partition
+    last = max(rows, default=-1)
+
+    def before(name: str) -> tuple[Column, int]:
+        """Amount held by earlier partitions, looked up by partition number, and the total."""
+        sizes = [int(rows[i][name] or 0) if i in rows else 0 for i in range(last + 1)]
+        starts = [0, *accumulate(sizes)]
+        return F.expr("array(" + ",".join(f"{v}L" for v in starts[:-1] or [0]) + ")").getItem(F.col("_pid").cast("int")), starts[-1]
+
+    offset, total = before("_rows")
+    laid = laid.withColumns({
+        "_pos": offset + F.col("_mid").bitwiseAND(F.lit((1 << _IDX_BITS) - 1)), "_all_rows": F.lit(total).cast("long")})
     local = Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
     for w in weights:
-        laid = laid.withColumn(f"_cum_{w}", F.col(f"_off_{w}") + F.coalesce(F.sum(w).over(local), F.lit(0)))
-    return laid.drop("_offset", *[f"_off_{w}" for w in weights])
+        offset, total = before(w)
+        laid = laid.withColumns({
+            f"_cum_{w}": offset + F.coalesce(F.sum(w).over(local), F.lit(0)), f"_all_{w}": F.lit(total).cast("long")})
+    return laid
 
 
-def _spread(laid: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column]) -> DataFrame:
-    """Attach per-key aggregates: local windows inside a partition, a broadcast for keys that span several."""
-    local = Window.partitionBy("_pid", *keys)
-    spanning = (
+def _spanning(laid: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column], prefix: str) -> DataFrame:
+    """Aggregates of the keys that continue across a partition edge: at most one row per partition."""
+    return F.broadcast(
         laid.groupBy(*keys)
-        .agg(F.min("_pid").alias("_p0"), F.max("_pid").alias("_p1"),
-             *[expr.alias(f"_s_{name}") for name, expr in aggs.items()])
-        .filter(F.col("_p0") < F.col("_p1")).drop("_p0", "_p1")
-    )
-    out = laid.join(F.broadcast(spanning), list(keys), "left")
-    for name, expr in aggs.items():
-        out = out.withColumn(name, F.coalesce(F.col(f"_s_{name}"), expr.over(local)))
-    return out.drop(*[f"_s_{name}" for name in aggs])
+        .agg(F.min("_pid").alias("_p0"), F.max("_pid").alias("_p1"), *[c.alias(prefix + n) for n, c in aggs.items()])
+        .filter(F.col("_p0") < F.col("_p1")).drop("_p0", "_p1"))
 
 
 def positions(
@@ -69,27 +68,37 @@ def positions(
     """Add 0-based `pos` and `group_n`; per weight `<w>_before`/`<w>_total`; with ties `tie_first`/`tie_last`.
 
     Weights must be non-negative.  With ties, `<w>_below` counts only rows strictly below the tied value.
+    Keys inside one partition use local windows, keys that span partitions use the broadcast table.
     """
+    groups, ties = list(groups), list(ties)
     laid = range_layout(df, [*groups, *order], weights)
+    out = laid
     if groups:
         aggs = {"_start": F.min("_pos"), "group_n": F.count(F.lit(1))}
         for w in weights:
-            aggs[f"_wstart_{w}"] = F.min(f"_cum_{w}")
-            aggs[f"{w}_total"] = F.sum(w)
-        out = _spread(laid, groups, aggs)
+            aggs |= {f"_wstart_{w}": F.min(f"_cum_{w}"), f"{w}_total": F.sum(w)}
+        out = out.join(_spanning(laid, groups, aggs, "_g_"), groups, "left")
     else:  # one global group: the partition table already holds its totals
-        out = laid.withColumns({"_start": F.lit(0), "group_n": F.col("_all_rows")})
-        for w in weights:
-            out = out.withColumns({f"_wstart_{w}": F.lit(0), f"{w}_total": F.col(f"_all_{w}")})
-    out = out.withColumn("pos", F.col("_pos") - F.col("_start"))
+        out = out.withColumns({"_start": F.lit(0), "group_n": F.col("_all_rows")} | {
+            k: v for w in weights for k, v in ((f"_wstart_{w}", F.lit(0)), (f"{w}_total", F.col(f"_all_{w}")))})
+        aggs = {}
+    runs = {}
+    if ties:
+        runs = {"_first": F.min("_pos"), "_last": F.max("_pos")} | {f"_low_{w}": F.min(f"_cum_{w}") for w in weights}
+        out = out.join(_spanning(laid, [*groups, *ties], runs, "_t_"), [*groups, *ties], "left")
+    by_group, by_run = Window.partitionBy("_pid", *groups), Window.partitionBy("_pid", *groups, *ties)
+    out = out.withColumns(
+        {n: F.coalesce(F.col("_g_" + n), c.over(by_group)) for n, c in aggs.items()}
+        | {n: F.coalesce(F.col("_t_" + n), c.over(by_run)) for n, c in runs.items()})
+    start = F.col("_start")
+    final = {"pos": F.col("_pos") - start}
     for w in weights:
-        out = out.withColumn(f"{w}_before", F.col(f"_cum_{w}") - F.col(f"_wstart_{w}"))
+        final[f"{w}_before"] = F.col(f"_cum_{w}") - F.col(f"_wstart_{w}")
     if ties:
-        run = {"tie_first": F.min("pos"), "tie_last": F.max("pos")}
-        for w in weights:
-            run[f"{w}_below"] = F.min(f"{w}_before")
-        out = _spread(out, [*groups, *ties], run)
-    return out.drop("_mid", "_pid", "_pos", "_start", "_all_rows", *[f"_{x}_{w}" for w in weights for x in ("cum", "wstart", "all")])
+        final |= {"tie_first": F.col("_first") - start, "tie_last": F.col("_last") - start}
+        final |= {f"{w}_below": F.col(f"_low_{w}") - F.col(f"_wstart_{w}") for w in weights}
+    totals = ["group_n", *[f"{w}_total" for w in weights]]
+    return out.select(*df.columns, *totals, *[c.alias(n) for n, c in final.items()])
 
 
 def midranks(df: DataFrame, groups: Sequence[str], value: str, tie: str, out: str = "midrank") -> DataFrame:

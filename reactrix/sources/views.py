@@ -53,7 +53,8 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_scores(items(spark, sf_dir), DRIVER.capture_time)
+    """Items with rates, score, baseline, index and tier: the feature table every experiment reads."""
+    return shared_table(spark, sf_dir, "scored", lambda: with_scores(items(spark, sf_dir), DRIVER.capture_time))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
