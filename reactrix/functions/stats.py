@@ -32,7 +32,8 @@ def draw(key: Column, n: Column | int) -> Column:
 
 def rank_sum(df: DataFrame, groups: Sequence[str], value: str, is_x: str, tie: Sequence[str] = ("item_id",)) -> DataFrame:
     """Mann-Whitney per group: n_x, n_y, one-sided z (no tie correction) with p, two-sided p with ties and continuity."""
-    ranked = positions(df.filter(F.col(value).isNotNull()), list(groups), [value, *tie], ties=[value])
+    narrow = df.filter(F.col(value).isNotNull()).select(*groups, value, is_x, *tie)
+    ranked = positions(narrow, list(groups), [value, *tie], ties=[value])
     mid = (F.col("tie_first") + F.col("tie_last")) / 2.0 + 1.0
     run = F.col("tie_last") - F.col("tie_first") + 1
     sums = ranked.groupBy(*groups).agg(
