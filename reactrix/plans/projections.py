@@ -318,7 +318,7 @@ def work_form(spark, sf):
     return V.items(spark, sf).select("item_id", R.first_pattern("title", FORMS, "other").alias("form"))
 
 
-@query("title_number_flag", [], r"""
+TITLE_FLAG_SQL = r"""
 WITH d AS (SELECT doc_id, lower(text) AS t FROM documents),
 segs AS (SELECT doc_id, unnest(regexp_extract_all(t, '[0-9.]+[^0-9.]*')) AS seg, generate_subscripts(regexp_extract_all(t, '[0-9.]+[^0-9.]*'), 1) AS k FROM d),
 nums AS (SELECT *, regexp_extract(seg, '^[0-9]+') AS n, lead(seg) OVER (PARTITION BY doc_id ORDER BY k) AS nxt FROM segs),
@@ -330,7 +330,10 @@ hits AS (SELECT DISTINCT doc_id FROM ok WHERE NOT is_day AND NOT (length(n) = 4
   AND NOT regexp_matches(rest, '^\s*(周年|年|月|日|天|小时|分钟|秒|帧|岁|元|万|亿|期货|人|抽|册|块|刀|攻速|公里|千米|米|℃|%|fps\b|hz\b|khz\b|kb\b|mb\b|gb\b|p\b|k\b|×)')
   AND NOT (regexp_matches(rest, '^\s*x\s*$') AND coalesce(regexp_matches(nxt, '^[0-9]'), FALSE))
   AND (length(n) >= 3 OR (nxt IS NULL AND trim(rest, ' 】]）)！!。．.？?') = '')))
-SELECT doc_id, CASE WHEN regexp_matches(t, '(^|[^a-z0-9])s\s*\d+\s*e\s*\d+') THEN 'series' WHEN doc_id IN (SELECT doc_id FROM hits) THEN 'number_review' END AS flag FROM d""")
+SELECT doc_id, CASE WHEN regexp_matches(t, '(^|[^a-z0-9])s\s*\d+\s*e\s*\d+') THEN 'series' WHEN doc_id IN (SELECT doc_id FROM hits) THEN 'number_review' END AS flag FROM d"""
+
+
+@query("title_number_flag", [], TITLE_FLAG_SQL)
 def title_number_flag(spark, sf):
     return V.documents(spark, sf).select("doc_id", T.number_flag(T.folded("text")).alias("flag"))
 
