@@ -96,7 +96,7 @@ def banded(spark: SparkSession, sf_dir: str) -> DataFrame:
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated snapshots of an item: time, one counter, completeness and an optional metadata field."""
     return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("item_id"), F.col("event_id").alias("capture_id"), "ts",
+        F.col("user_id").alias("item_id"), F.col("event_id").alias("capture_id"), F.col("ts").cast("timestamp").alias("ts"),
         F.col("value").alias("counter"), (F.col("event_type") != "error").alias("complete"), "event_type",
         F.get_json_object("props", "$.k").cast("long").alias("extra"))
 
