@@ -77,7 +77,7 @@ def directional_depth(df: DataFrame, keys: Sequence[str], xs: Sequence[str], min
     placed = O.positions(long, [*keys, "dir"], ["proj", "item_id"], ties=["proj"])
     scored = placed.withColumn("d", (F.col("tie_first") + 1) / F.col("cell_n"))
     best = scored.groupBy("item_id").agg(
-        F.max(F.struct("d", -F.col("dir"))).alias("_b"), F.max_by(F.struct("d", "dir", "proj"), F.struct("d", -F.col("dir"))).alias("b"),
+        F.max_by(F.struct("d", "dir", "proj"), F.struct("d", -F.col("dir"))).alias("b"),
         F.first("eligible").alias("eligible"), F.first("orth").alias("orth"))
     depth = F.when(F.col("eligible"), F.when(F.col("b.proj") > 0, F.col("b.d")).otherwise(0.0))
     return best.select("item_id", depth.alias("depth"), F.when(F.col("eligible"), F.col("b.dir")).alias("dir"), "orth")

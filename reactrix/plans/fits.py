@@ -10,6 +10,7 @@ from ..functions import stats as ST
 from ..operators import aggregates as A
 from ..operators import fits as M
 from ..params import DENOMINATORS, WEIGHT_SUBSETS
+from ..session import stage
 from ..sources import views as V
 from .aggregations import bucket_curve, curve_rows, edge_items, item_labels, mature, med, midrank_sql, upper, user_arm, inflow
 from .registry import query, shared_sql
@@ -211,7 +212,7 @@ def arm_comparison(spark, sf):
         "better", (F.round("p_greater", 6) < 0.05) & (F.col("mean_ratio") >= 1.3))
 
 
-REPLICATES = 4000
+REPLICATES, BLOCK = 4000, 100
 shared_sql("clusters", ["edge_items"], """SELECT arm, row_number() OVER (PARTITION BY arm ORDER BY user_id) - 1 AS idx, n, g, count(*) OVER (PARTITION BY arm) AS total
   FROM (SELECT arm, user_id, count(*) AS n, count(*) FILTER (tier = 'high') AS g FROM edge_items WHERE view >= 3000 GROUP BY arm, user_id)""")
 shared_sql("boot", ["clusters"], f"""SELECT arm, list_sort(list(rate)) AS rates FROM (SELECT d.arm, b, sum(g) * 1e0 / greatest(1, sum(n)) AS rate FROM (
@@ -223,8 +224,9 @@ BOOT_SQL = f"round(list_avg(rates), 6) AS mean, round(rates[{int(0.025 * REPLICA
 def bootstrap(spark, sf):
     """Whole users drawn with replacement per arm; a replicate's draws meet their cluster by index."""
     users = edge_items(spark, sf).filter("view >= 3000").groupBy("arm", "user_id").agg(F.count("*").alias("n"), F.count_if(A.is_high()).alias("g"))
-    clusters = O.positions(users, ["arm"], ["user_id"])
-    draws = clusters.select("arm", "group_n", F.col("pos").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(REPLICATES - 1))).alias("b")).select(
+    clusters = stage(O.positions(users, ["arm"], ["user_id"]), "clusters")  # a table: its size decides the join below
+    blocks = clusters.select("arm", "group_n", F.col("pos").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(REPLICATES // BLOCK - 1))).alias("block")).repartition("arm", "block", "j")
+    draws = blocks.select("arm", "group_n", "j", F.explode(F.sequence(F.col("block") * BLOCK, F.col("block") * BLOCK + (BLOCK - 1))).alias("b")).select(
         "arm", "b", ST.draw(F.concat_ws(":", "arm", "b", "j"), F.col("group_n")).alias("pos"))
     reps = draws.join(clusters.select("arm", "pos", "n", "g"), ["arm", "pos"]).groupBy("arm", "b").agg(
         A.ratio(F.sum("g"), F.greatest(F.lit(1), F.sum("n"))).alias("rate"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from ..functions import ordering as O
@@ -15,6 +13,7 @@ from ..operators import catalog as K
 from ..operators import graph as G
 from ..operators import rules as R
 from ..params import DRIVER
+from ..session import shared_table
 from ..sources import views as V
 from .aggregations import HIGH, edge_items, inflow, mature, med
 from .fits import bootstrap, rank_sum_sql
@@ -222,8 +221,10 @@ def catalog_build(spark, sf):
         F.array_join(R.screen_flags("title", T.number_flag(F.lower("title")), SCREEN), ";").alias("flags"), "editorial", F.lit("unreviewed").alias("status"))
 
 
-def walk(spark, sf, policies=G.POLICIES, depth=None):
-    return G.frontier_expansion(confluence(spark, sf).select("item_id"), V.related(spark, sf), ptiers(spark, sf), policies, depth)
+def walk(spark, sf, depth=None):
+    """Six policies from 18 confluence seeds; the walk is kept as a table for the reports on it."""
+    return shared_table(spark, sf, f"walk{depth or ''}", lambda: G.frontier_expansion(
+        confluence(spark, sf).select("item_id"), V.related(spark, sf), ptiers(spark, sf), G.POLICIES, depth))
 
 
 @query("frontier_expansion")
@@ -233,8 +234,7 @@ def frontier_expansion(spark, sf):
 
 @query("frontier_status")
 def frontier_status(spark, sf):
-    short = [replace(p, cap=min(p.cap, 6)) for p in G.POLICIES]
-    return G.walk_status(walk(spark, sf, short), short)
+    return G.walk_status(walk(spark, sf))
 
 
 def walk_sql(depth):
