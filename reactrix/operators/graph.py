@@ -90,11 +90,16 @@ def hop_summary(walk: DataFrame) -> DataFrame:
         F.max("pool_n").alias("pool_n"), F.count_if("chosen").alias("chosen"), F.min(F.when(F.col("chosen"), F.col("item_id"))).alias("least_chosen"))
 
 
-def walk_status(walk: DataFrame, policies: Sequence[Policy] = POLICIES) -> DataFrame:
-    """Depth and status per (policy, seed): pruned/dry when the last hop chose nothing, censored at the cap."""
-    ends = hop_summary(walk).groupBy(*KEY).agg(F.max("hop").alias("depth"), F.max_by("chosen", "hop").alias("_c"), F.sum("tops").alias("tops"), F.sum("reached").alias("nodes"))
+def walk_status(walk: DataFrame, policies: Sequence[Policy] = POLICIES, budget: int | None = None) -> DataFrame:
+    """Depth and status per (policy, seed): censored at the cap or by budget, else dry/pruned where supply ended."""
+    ends = walk.groupBy(*KEY).agg(F.max("hop").alias("depth"), F.count_if(F.col("ptier") == "top").alias("tops"), F.count("*").alias("nodes"), F.max("spent").alias("_spent"),
+                                  F.max(F.when(F.col("chosen"), F.col("hop"))).alias("_last"))
+    going = F.coalesce(F.col("_last") == F.col("depth"), F.lit(False))  # the last hop still chose a frontier
     dry = F.when(_by_policy(policies, "second_tier"), "dry").otherwise("pruned")
-    return ends.withColumn("status", F.when(F.col("_c") == 0, dry).when(F.col("depth") >= _by_policy(policies, "cap"), "censored_depth").otherwise("censored_budget")).drop("_c")
+    status = F.when(going & (F.col("depth") >= _by_policy(policies, "cap")), "censored_depth")
+    if budget is not None:
+        status = status.when(going & (F.col("_spent") >= budget), "censored_budget")
+    return ends.withColumn("status", status.otherwise(dry)).drop("_spent", "_last")
 
 
 def two_level_chain(seeds: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
