@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ordering as O
@@ -52,17 +52,19 @@ def _by_policy(policies: Sequence[Policy], field: str) -> Column:
 
 def frontier_expansion(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, policies: Sequence[Policy] = POLICIES,
                        depth: int | None = None, budget: int | None = None) -> DataFrame:
-    """Every node reached: (policy, seed, hop, item_id, ptier, in_pool, pool_n, choice, chosen, spent).
+    """Every node reached: (policy, seed, hop, item_id, ptier, in_pool, spent, chosen).
 
     Each hop is written to shared storage, which cuts lineage; the visited set is the union of those tables.
-    A (policy, seed) pool holds at most width x related-list rows, so its window is bounded.
+    Pools are counted by aggregation and the next frontier is a pruned top-k, so one very long related list
+    is never gathered in a task.
     """
     start = stage(seeds.select(F.explode(F.array(*[F.lit(p.name) for p in policies])).alias("policy"), F.col("item_id").alias("seed")), "frontier")
     frontier = start.select("policy", "seed", F.col("seed").alias("item_id"), F.lit(0).cast("long").alias("spent"))
     visited = start.select("policy", "seed", F.col("seed").alias("item_id"))
     scores = nodes.select("item_id", "ptier", "pct", "pub_ts")
-    hops, last = [], max(p.cap for p in policies) if depth is None else depth
-    for hop in range(1, last + 1):
+    widest = max(p.width for p in policies)
+    reached_tables, chosen_tables = [], []
+    for hop in range(1, (max(p.cap for p in policies) if depth is None else depth) + 1):
         live = frontier.filter(F.lit(hop) <= _by_policy(policies, "cap"))
         if budget is not None:
             live = live.filter(F.col("spent") < budget)
@@ -70,24 +72,27 @@ def frontier_expansion(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, pol
         reached = live.join(edges, F.col("item_id") == F.col("src")).groupBy(*KEY, F.col("dst").alias("item_id")).agg(F.count("*").alias("links"))
         fresh = reached.join(visited, [*KEY, "item_id"], "left_anti").join(scores, "item_id").join(cost, KEY)
         pool = (F.col("ptier") == "top") | ((F.col("ptier") == "fine") & _by_policy(policies, "second_tier"))
-        keyed = fresh.withColumn("in_pool", pool).withColumn("_tier", F.when(
-            (F.col("ptier") == "fine") & ~_by_policy(policies, "order").isin("random"), 1).otherwise(0)).withColumn("_key", _choice_key(policies, hop))
-        order = Window.partitionBy(*KEY).orderBy(F.desc("in_pool"), "_tier", "_key", "item_id")
-        placed = keyed.withColumn("choice", F.row_number().over(order)).withColumn("pool_n", F.count_if("in_pool").over(Window.partitionBy(*KEY)))
-        chosen = F.col("in_pool") & (F.col("choice") <= _by_policy(policies, "width")) & (F.col("pool_n") >= _by_policy(policies, "least"))
-        table = stage(placed.select(*KEY, F.lit(hop).cast("long").alias("hop"), "item_id", "ptier", "in_pool", "pool_n", "choice", chosen.alias("chosen"), "spent"), f"hop{hop}")
-        hops.append(table)
+        later = (F.col("ptier") == "fine") & (_by_policy(policies, "order") != "random")
+        table = stage(fresh.select(
+            *KEY, F.lit(hop).cast("long").alias("hop"), "item_id", "ptier", pool.alias("in_pool"), later.alias("_later"),
+            _choice_key(policies, hop).alias("_key"), "spent"), f"hop{hop}")
+        enough = table.groupBy(*KEY).agg(F.count_if("in_pool").alias("_n")).filter(F.col("_n") >= _by_policy(policies, "least")).drop("_n")
+        best = O.top_per_group(table.filter("in_pool"), KEY, ["_later", "_key", "item_id"], widest, "choice").filter(F.col("choice") <= _by_policy(policies, "width"))
+        chosen = stage(best.join(enough, KEY).select(*KEY, "hop", "item_id", "spent"), f"chosen{hop}")
+        reached_tables.append(table.drop("_later", "_key"))
+        chosen_tables.append(chosen.select(*KEY, "hop", "item_id", F.lit(True).alias("chosen")))
         visited = visited.unionByName(table.select(*KEY, "item_id"))
-        frontier = table.filter("chosen").select(*KEY, "item_id", "spent")
+        frontier = chosen.select(*KEY, "item_id", "spent")
         if frontier.isEmpty():
             break
-    return reduce(DataFrame.unionByName, hops)
+    everyone, picked = reduce(DataFrame.unionByName, reached_tables), reduce(DataFrame.unionByName, chosen_tables)
+    return everyone.join(picked, [*KEY, "hop", "item_id"], "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
 
 
 def hop_summary(walk: DataFrame) -> DataFrame:
     return walk.groupBy(*KEY, "hop").agg(
         F.count("*").alias("reached"), F.count_if(F.col("ptier") == "top").alias("tops"), F.count_if(F.col("ptier") == "fine").alias("fines"),
-        F.max("pool_n").alias("pool_n"), F.count_if("chosen").alias("chosen"), F.min(F.when(F.col("chosen"), F.col("item_id"))).alias("least_chosen"))
+        F.count_if("in_pool").alias("pool_n"), F.count_if("chosen").alias("chosen"), F.min(F.when(F.col("chosen"), F.col("item_id"))).alias("least_chosen"))
 
 
 def walk_status(walk: DataFrame, policies: Sequence[Policy] = POLICIES, budget: int | None = None) -> DataFrame:

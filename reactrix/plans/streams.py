@@ -21,7 +21,7 @@ def arriving(spark, sf, name, build, *by):
     if key not in _FILES:
         path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         df = build()
-        df.repartition(*by).write.partitionBy(*by).parquet(path)
+        df.write.partitionBy(*by).parquet(path)
         _FILES[key] = (path, df.schema)
     return _FILES[key]
 
