@@ -155,3 +155,13 @@ def top_per_group(df: DataFrame, groups: Sequence[str], order: Sequence, k: int,
     """First k rows per group; Spark prunes each partition to k rows per group before the shuffle."""
     window = Window.partitionBy(*groups).orderBy(*_keys(order))
     return df.withColumn(out, F.row_number().over(window)).filter(F.col(out) <= k)
+
+
+def join_counted(big: DataFrame, small: DataFrame, on: Sequence[str], limit: int = 200_000) -> DataFrame:
+    """Join to a stored side whose rows are counted first: broadcast up to `limit` rows, sort-merge beyond.
+
+    For a big side that grew by explode: the planner does not see the growth and might broadcast that side.
+    """
+    if small.limit(limit + 1).count() <= limit:
+        return big.join(F.broadcast(small), list(on))
+    return big.join(small.hint("merge"), list(on))

@@ -224,11 +224,11 @@ BOOT_SQL = f"round(list_avg(rates), 6) AS mean, round(rates[{int(0.025 * REPLICA
 def bootstrap(spark, sf):
     """Whole users drawn with replacement per arm; a replicate's draws meet their cluster by index."""
     users = edge_items(spark, sf).filter("view >= 3000").groupBy("arm", "user_id").agg(F.count("*").alias("n"), F.count_if(A.is_high()).alias("g"))
-    clusters = stage(O.positions(users, ["arm"], ["user_id"]), "clusters")  # a table: its size decides the join below
+    clusters = stage(O.positions(users, ["arm"], ["user_id"]), "clusters")
     blocks = clusters.select("arm", "group_n", F.col("pos").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(REPLICATES // BLOCK - 1))).alias("block")).repartition("arm", "block", "j")
     draws = blocks.select("arm", "group_n", "j", F.explode(F.sequence(F.col("block") * BLOCK, F.col("block") * BLOCK + (BLOCK - 1))).alias("b")).select(
         "arm", "b", ST.draw(F.concat_ws(":", "arm", "b", "j"), F.col("group_n")).alias("pos"))
-    reps = draws.join(clusters.select("arm", "pos", "n", "g"), ["arm", "pos"]).groupBy("arm", "b").agg(
+    reps = O.join_counted(draws, clusters.select("arm", "pos", "n", "g"), ["arm", "pos"]).groupBy("arm", "b").agg(
         A.ratio(F.sum("g"), F.greatest(F.lit(1), F.sum("n"))).alias("rate"))
     ordered = reps.groupBy("arm").agg(F.avg("rate").alias("mean"), F.array_sort(F.collect_list("rate")).alias("r"))  # REPLICATES values per arm
     return ordered.select("arm", "mean", F.element_at("r", int(0.025 * REPLICATES) + 1).alias("lo"), F.element_at("r", int(0.975 * REPLICATES)).alias("hi"))
