@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach; a local one is made only where none is configured (tests)."""
+    """Folder every executor can reach. A temporary one is made only for a local master where none is configured (tests);
+    any other master without the setting is refused, as each executor would write to its own disk."""
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not configured:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="reactrix-")
         context.setCheckpointDir(configured)
     return configured.rstrip("/")
@@ -26,12 +29,39 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_SHARED: dict[tuple, DataFrame] = {}
+def drop_stage(df: DataFrame) -> None:
+    """Delete the folder of a frame made by `stage`, once nothing reads it any more; other folders are left alone."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    root = root.getFileSystem(conf).makeQualified(root).toString()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(conf)
+        if files.makeQualified(path.getParent()).toString() == root:
+            files.delete(path, True)
+
+
+def _listing(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, lengths and modification times below a folder, so that changed input is not served from an older table."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return ()
+    found, walk = [], files.listFiles(path, True)
+    while walk.hasNext():
+        f = walk.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
+_SHARED: dict[tuple, tuple[tuple, DataFrame]] = {}
 
 
 def shared_table(spark: SparkSession, sf_dir: str, label: str, build) -> DataFrame:
-    """Table derived from the input once per application, then read by every query that needs it."""
+    """Table derived from the input once per application and state of the folder, then read by every query that needs it."""
     key = (spark.sparkContext.applicationId, id(spark), sf_dir, label)
-    if key not in _SHARED:
-        _SHARED[key] = stage(build(), label)
-    return _SHARED[key]
+    listing = _listing(spark, sf_dir)
+    if key not in _SHARED or _SHARED[key][0] != listing:
+        _SHARED[key] = (listing, stage(build(), label))
+    return _SHARED[key][1]
