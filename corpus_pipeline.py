@@ -6,15 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reactrix.llm import lines, mixing, packing
+from reactrix.llm import language, lines, minhash, mixing, packing
 from reactrix.session import stage
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a known language; texts without a letter and texts of no prevailing language go."""
+    return language.keep_identified(docs, language.fit(docs))
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that repeat earlier three-line windows; every document stays."""
     return lines.drop_repeated_lines(docs).select(*docs.columns)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return minhash.drop_near_duplicates(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mix to target weights takes them."""
     return mixing.mix(docs)
@@ -26,12 +36,14 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
     ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
     ("source_mixing", mix_sources),
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: SQL can't express language models, MinHash or packing; tests compare the pipeline with its stages' brute-force versions.
+#: SQL can't express language models, MinHash or packing; tests compare the stages with brute-force versions.
 ORACLE_SQL = None
 
 

@@ -1,4 +1,4 @@
 """Imports every operator module, so that all their queries are registered."""
 
-from . import exact, language, lines, minhash, mixing, packing, pii, secrets, toxicity  # noqa: F401
+from . import exact, language, lines, merkle, minhash, mixing, packing, pii, secrets, toxicity  # noqa: F401
 from .common import ORACLES, QUERIES  # noqa: F401
