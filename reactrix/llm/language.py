@@ -158,8 +158,9 @@ def best_path(score: np.ndarray, switch: float) -> np.ndarray:
     best = int(score.sum(axis=0).argmax())
     gain = np.cumsum(score - score[:, best:best + 1], axis=0)
     low = np.minimum(np.minimum.accumulate(gain, axis=0), 0.0)
-    rise = np.maximum(gain[0], 0.0) if n == 1 else np.maximum(gain[0], (gain[1:] - low[:-1]).max(axis=0))
-    if (rise <= switch).all():
+    rise = max(gain[0].max(), (gain[1:] - low[:-1]).max() if n > 1 else 0.0)
+    # paths that touch `best` win at most `rise` on each other stretch; those that never do start and end with another language
+    if rise <= switch and max(gain.max(), 0.0) + max((gain[-1] - gain).max(), 0.0) <= switch:
         return np.full(n, best)
     now, back = score[0].tolist(), []
     for row in score[1:].tolist():
@@ -198,7 +199,7 @@ def spans_of(text: str, lang: str, path: np.ndarray, languages: list[str]) -> li
     if lang == "und":
         return []
     starts = [m.start() for m in LETTERS.finditer(text)] if len(path) and (path != path[0]).any() else []
-    if len(starts) != len(path):  # one language, or lower case has changed what counts as a word
+    if not len(path) or len(starts) != len(path):  # one language, or lower case has changed what counts as a word
         return [(0, len(text), lang)]
     cuts = (np.flatnonzero(path[1:] != path[:-1]) + 1).tolist()
     edges = [0, *(starts[c] for c in cuts), len(text)]

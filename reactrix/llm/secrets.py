@@ -2,7 +2,7 @@
 
 Two first-order chains over characters, one of random strings and one of ordinary identifiers, are compared by the log
 ratio of their likelihoods. Labelled samples train them: values found by the base patterns in all texts, and the longer
-words of about `sample` documents drawn by a hash of the id. A token is a secret if its ratio is above that of all but
+words outside them of about `sample` documents drawn by a hash of the id. A token is a secret if its ratio is above that of all but
 `false_alarm` of the sampled identifiers and above an even bet. Chains are tables of at most (64 + 1)^2 counts.
 
 The tokens of every text are found in one pass and written to the shared folder; only the chains' counts are shuffled.
@@ -28,7 +28,7 @@ ASSIGN = r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"'
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}+"
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}+"
-WORD = r"[A-Za-z_]{8,}+"
+WORD = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z_]{8,}+(?![A-Za-z0-9+/=-])"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
 SAMPLE = 2000
 FALSE_ALARM = 1e-4
@@ -53,7 +53,8 @@ def tokens(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     base = F.concat(spans("assign", 0, lambda t: F.regexp_extract(t, ASSIGN, 1), 12), spans("access", 1, lambda t: t, 18), spans("hex", 2, lambda t: t, 16))
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1e6 * min(1.0, sample / max(total, 1))
-    words = F.when(drawn, F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    rest = F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|{HEX}", " ")
+    words = F.when(drawn, F.regexp_extract_all(rest, F.lit(WORD), F.lit(0)))
     return stage(rows.select("doc_id", base.alias("base"), spans("other", 3, lambda t: t, 16).alias("tokens"), words.alias("words")), "tokens")
 
 
