@@ -103,7 +103,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = WORDS) -> DataFrame:
-    """Staged (doc_id, n_shingles, digest, sig, keys, shingles) of every row."""
+    """Staged (doc_id, n_shingles, digest, sig, keys) of every row; sets themselves are not kept."""
     def sketches(batches):
         import xxhash
 
@@ -122,16 +122,32 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = W
                     batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                     pa.array([None if k is None else small[k].tobytes() for k in at_row], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(keys.reshape(-1), pa.int64())),
-                    pa.array([s.tobytes() for s in sets], pa.binary())], names)
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(keys.reshape(-1), pa.int64()))], names)
 
     schema = T.StructType([
         T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()),
-        T.StructField("sig", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("shingles", T.BinaryType())])
+        T.StructField("sig", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
     names = schema.names
     return stage(docs.select("doc_id", "text").mapInArrow(sketches, schema), "sketches")
 
 
+def full_sets(docs: DataFrame, wanted: DataFrame, width: int = WORDS) -> DataFrame:
+    """Staged (doc_id, shingles) of the wanted nodes (node, digest), from whole texts. Texts travel instead of sets, as
+    they are smaller, and only nodes that share a bucket are kept."""
+    def sets(batches):
+        import xxhash
+
+        known = _WordHash()
+        for batch in batches:
+            found = [shingle_set(t, known, width).tobytes() for t in batch.column(1).to_pylist()]
+            same = [xxhash.xxh3_128_digest(s) == d for s, d in zip(found, batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "shingles"]).filter(pa.array(same, pa.bool_()))
+
+    rows = docs.select("doc_id", "text").join(wanted.select(F.col("node").alias("doc_id"), "digest"), "doc_id")
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("shingles", T.BinaryType())])
+    return stage(rows.mapInArrow(sets, schema), "shingle-sets")
+
+
 def _pairs_schema(pairs: DataFrame) -> T.StructType:
     return T.StructType([T.StructField("u", pairs.schema["u"].dataType), T.StructField("v", pairs.schema["v"].dataType)])
 
@@ -142,15 +158,18 @@ def _beside(pairs: DataFrame, sketches: DataFrame, column: str) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b")
 
 
-def confirm(pairs: DataFrame, sketches: DataFrame, hashes: int = BANDS * ROWS, percent: int = PERCENT, by_signature: bool = True) -> DataFrame:
-    """Those of the pairs (u, v) whose signatures allow the link and whose full sets confirm it."""
-    least = FLOOR * hashes
-
-    def alike(batches):
+def alike(pairs: DataFrame, sketches: DataFrame, hashes: int = BANDS * ROWS) -> DataFrame:
+    """Those of the pairs (u, v) whose signatures allow the link."""
+    def work(batches):
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, hashes) for k in (2, 3))
-            yield batch.select(["u", "v"]).filter(pa.array((a == b).sum(axis=1) >= least))
+            yield batch.select(["u", "v"]).filter(pa.array((a == b).sum(axis=1) >= FLOOR * hashes))
+
+    return _beside(pairs, sketches, "sig").mapInArrow(work, _pairs_schema(pairs)).distinct()
+
 
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Those of the pairs (u, v) whose full sets confirm the link."""
     def linked(batches):
         for batch in batches:
             keep = []
@@ -163,10 +182,7 @@ def confirm(pairs: DataFrame, sketches: DataFrame, hashes: int = BANDS * ROWS, p
                 keep.append(100 * both >= percent * (len(a) + len(b) - both))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    schema = _pairs_schema(pairs)
-    if by_signature:
-        pairs = _beside(pairs, sketches, "sig").mapInArrow(alike, schema).distinct()
-    return _beside(pairs, sketches, "shingles").mapInArrow(linked, schema).distinct()
+    return _beside(pairs, sets, "shingles").mapInArrow(linked, _pairs_schema(pairs)).distinct()
 
 
 def _across(shared: DataFrame, sketches: DataFrame, hashes: int, block: int) -> DataFrame:
@@ -252,10 +268,11 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, perce
     hubs = shared.join(score, "node").groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("best"))
     spokes = shared.join(hubs.select("bucket", F.col("best.node").alias("hub")), "bucket").filter("node != hub")
     spokes = spokes.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
-    links = confirm(spokes, sketches, hashes, percent)
+    sets = full_sets(docs, nodes.join(shared.select("node").distinct(), "node").select("node", "digest"))
+    links = confirm(alike(spokes, sketches, hashes), sets, percent)
     found = stage(components(links), "components")
     placed = shared.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    more = confirm(_across(placed, sketches, hashes, block), sketches, hashes, percent, by_signature=False)
+    more = confirm(_across(placed, sketches, hashes, block), sets, percent)
     where = found.select(F.col("node").alias("v"), F.col("component").alias("to"))
     lifted = (more.join(where, "v", "left").select("u", F.coalesce("to", "v").alias("cv"))
               .join(where.select(F.col("v").alias("u"), F.col("to").alias("from")), "u", "left").select(F.coalesce("from", "u").alias("u"), F.col("cv").alias("v")))
