@@ -31,8 +31,9 @@ from .common import crc32_text, documents, query
 
 PER_LANGUAGE = 2000
 MAX_GRAMS = 60_000
-SWITCH = 6.0
-WORD_CACHE = 300_000
+SWITCH = 20.0  # nats; a few words of another language outweigh it
+TEXTS_AT_ONCE = 250
+WORD_CACHE = 500_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 #: First code point of a range and the script written in it.
@@ -57,11 +58,17 @@ def grams_of(word: str) -> list[str]:
     return [*word, *map(str.__add__, w, w[1:]), *map("".join, zip(w, w[1:], w[2:]))]
 
 
+def gram_code(gram: str) -> int:
+    """Up to three characters as one number."""
+    a, b, c = [0] * (3 - len(gram)) + [ord(x) + 1 for x in gram]
+    return a << 42 | b << 21 | c
+
+
 @dataclass
 class Model:
     languages: list[str]
     share: np.ndarray
-    grams: dict[str, int]
+    codes: np.ndarray  # codes of the known grams, ascending
     table: np.ndarray  # log probability of each gram (last row: unknown) by language
     allowed: dict[str, np.ndarray]  # script -> languages written in it
 
@@ -118,7 +125,41 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, max_grams: int = MAX_
         seen.setdefault(r.gram[1:], np.zeros(len(languages)))[index[r.lang]] = r.n
     words = sum(seen.values()) if seen else np.zeros(len(languages))
     allowed = {s: n >= 0.01 * np.maximum(words, 1) for s, n in seen.items()}
-    return Model(languages, np.array([counts[x] / total for x in languages]), {r.gram: k for k, r in enumerate(kept)}, logs, allowed)
+    codes = np.array([gram_code(r.gram) for r in kept], np.int64)
+    order = codes.argsort()
+    return Model(languages, np.array([counts[x] / total for x in languages]), codes[order], np.concatenate([logs[order], logs[-1:]]), allowed)
+
+
+def word_scores(words: list[str], model: Model) -> np.ndarray:
+    """Score of each word in each language, by the codes of all their grams at once."""
+    a = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), np.uint32).astype(np.int64)
+    letter, c = a != 32, a + 1
+    sizes = np.array([len(w) for w in words])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+
+    def summed(codes, at):
+        if not len(model.codes):
+            return np.zeros((len(at), len(model.languages)))
+        found = np.minimum(np.searchsorted(model.codes, codes), len(model.codes) - 1)
+        found = np.where(model.codes[found] == codes, found, len(model.codes))
+        return np.add.reduceat(model.table[found], at)
+
+    score = summed(c[letter], starts)
+    score += summed((c[:-1] << 21 | c[1:]), starts + np.arange(len(words)))
+    score += summed((c[:-2] << 42 | c[1:-1] << 21 | c[2:])[letter[1:-1]], starts)
+    score /= 2.0
+    if len(model.allowed) > 1 or not all(ok.all() for ok in model.allowed.values()) or not letter_range(a):
+        nowhere = np.zeros(len(model.languages), bool)
+        for k, w in enumerate(words):
+            ok = model.allowed.get(script_of(w[0]), nowhere)
+            if not ok.all():
+                score[k] = np.where(ok, score[k], score[k].min() - 50.0) if ok.any() else 0.0
+    return score - score.max(axis=1, keepdims=True)
+
+
+def letter_range(codes: np.ndarray) -> bool:
+    """Whether all characters lie in the first script's range."""
+    return bool(codes.max() < SCRIPTS[1][0])
 
 
 class _Scorer:
@@ -127,34 +168,24 @@ class _Scorer:
     def __init__(self, model: Model):
         self.model, self.rows, self.at = model, np.zeros((1024, len(model.languages))), {}
 
-    def ids(self, words: list[str]) -> np.ndarray:
+    def of(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The scores of the words of each text."""
         if len(self.at) > WORD_CACHE:
             self.at = {}
         at = self.at
-        fresh = [w for w in dict.fromkeys(words) if w not in at]
+        fresh = list({w for words in texts for w in words}.difference(at))
         if fresh:
             base = len(at)
-            for k, w in enumerate(fresh):
-                at[w] = base + k
+            at.update(zip(fresh, range(base, base + len(fresh))))
             if len(at) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros((len(at) * 2 - len(self.rows), self.rows.shape[1]))])
-            grams, none = self.model.grams, len(self.model.table) - 1
-            lists = [grams_of(w) for w in fresh]
-            flat = self.model.table[[grams.get(g, none) for gs in lists for g in gs]]
-            sizes = np.array([len(gs) for gs in lists])
-            score = np.add.reduceat(flat, np.concatenate([[0], np.cumsum(sizes)[:-1]])) / 2.0
-            nowhere = np.zeros(len(self.model.languages), bool)
-            for k, w in enumerate(fresh):
-                ok = self.model.allowed.get(script_of(w[0]), nowhere)
-                if not ok.all():
-                    score[k] = np.where(ok, score[k], score[k].min() - 50.0) if ok.any() else 0.0
-            self.rows[base:base + len(fresh)] = score - score.max(axis=1, keepdims=True)
-        return np.array([at[w] for w in words])
+            self.rows[base:base + len(fresh)] = word_scores(fresh, self.model)
+        return [self.rows[[at[w] for w in words]] if words else self.rows[:0] for words in texts]
 
 
 def best_path(score: np.ndarray, switch: float) -> np.ndarray:
     """The language index of each word on the best path."""
-    n, m = score.shape
+    n = len(score)
     best = int(score.sum(axis=0).argmax())
     gain = np.cumsum(score - score[:, best:best + 1], axis=0)
     low = np.minimum(np.minimum.accumulate(gain, axis=0), 0.0)
@@ -162,36 +193,39 @@ def best_path(score: np.ndarray, switch: float) -> np.ndarray:
     # paths that touch `best` win at most `rise` on each other stretch; those that never do start and end with another language
     if rise <= switch and max(gain.max(), 0.0) + max((gain[-1] - gain).max(), 0.0) <= switch:
         return np.full(n, best)
-    now, back = score[0].tolist(), []
+    now, states = score[0].tolist(), []
     for row in score[1:].tolist():
-        top = max(range(m), key=now.__getitem__)
-        jump = now[top] - switch
-        came = [k if now[k] >= jump else top for k in range(m)]
-        back.append(came)
-        now = [(now[k] if now[k] >= jump else jump) + row[k] for k in range(m)]
-    path = [max(range(m), key=now.__getitem__)]
-    for came in reversed(back):
-        path.append(came[path[-1]])
+        states.append(now)
+        jump = max(now) - switch
+        now = [(a if a >= jump else jump) + r for a, r in zip(now, row)]
+    at = now.index(max(now))
+    path = [at]
+    for before in reversed(states):
+        top = max(before)
+        if before[at] < top - switch:
+            at = before.index(top)
+        path.append(at)
     return np.array(path[::-1])
 
 
-def judge(text: str | None, scorer: _Scorer, switch: float = SWITCH) -> tuple[str, float, np.ndarray]:
-    """Language, score and the path over the words (empty where no word was labelled)."""
+def judge(texts: list[str | None], scorer: _Scorer, switch: float = SWITCH):
+    """For each text: language, score and the path over the words (empty where no word was labelled)."""
     model, none = scorer.model, np.empty(0, int)
-    words = LETTERS.findall(text.lower()) if text else []
-    if not words or not model.languages:
-        return "und", 0.0, none
-    ids = scorer.ids(words)
-    rows = scorer.rows[ids]
-    if not rows.any():
-        top = int(model.share.argmax())
-        return model.languages[top], float(model.share[top]), none
-    path = best_path(rows, switch)
-    letters = np.bincount(path, [len(w) for w in words], len(model.languages))
-    top = int(letters.argmax())
-    total = rows[path == top].sum(axis=0)
-    odds = np.exp(np.minimum(total - total[top], 0.0)).sum()
-    return model.languages[top], float(letters[top] / letters.sum() / odds), path
+    for at in range(0, len(texts), TEXTS_AT_ONCE):
+        words_of = [LETTERS.findall(t.lower()) if t else [] for t in texts[at:at + TEXTS_AT_ONCE]]
+        for words, rows in zip(words_of, scorer.of(words_of) if model.languages else words_of):
+            if not words or not model.languages:
+                yield "und", 0.0, none
+            elif not rows.any():
+                top = int(model.share.argmax())
+                yield model.languages[top], float(model.share[top]), none
+            else:
+                path = best_path(rows, switch)
+                letters = np.bincount(path, [len(w) for w in words], len(model.languages))
+                top = int(letters.argmax())
+                total = rows[path == top].sum(axis=0)
+                odds = np.exp(np.minimum(total - total[top], 0.0)).sum()
+                yield model.languages[top], float(letters[top] / letters.sum() / odds), path
 
 
 def spans_of(text: str, lang: str, path: np.ndarray, languages: list[str]) -> list[tuple[int, int, str]]:
@@ -212,8 +246,8 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame
         scorer = _Scorer(model)
         for batch in batches:
             lang, score, spans = [], [], []
-            for text in batch.column(1).to_pylist():
-                found, sure, path = judge(text, scorer, switch)
+            texts = batch.column(1).to_pylist()
+            for text, (found, sure, path) in zip(texts, judge(texts, scorer, switch)):
                 lang.append(found)
                 score.append(sure)
                 spans.append([{"start": a, "end": b, "lang": x} for a, b, x in spans_of(text or "", found, path, model.languages)])
@@ -234,7 +268,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, switch: f
     def work(batches):
         scorer = _Scorer(model)
         for batch in batches:
-            found = [judge(t, scorer, switch) for t in batch.column(at).to_pylist()]
+            found = judge(batch.column(at).to_pylist(), scorer, switch)
             yield batch.filter(pa.array([lang != "und" and score >= least for lang, score, _ in found], pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)
