@@ -44,8 +44,10 @@ def range_layout(df: DataFrame, keys: Sequence, weights: Sequence[str] = ()) ->
         return F.expr("array(" + ",".join(f"{v}L" for v in starts[:-1] or [0]) + ")").getItem(F.col("_pid").cast("int")), starts[-1]
 
     offset, total = before("_rows")
+    index = F.col("_mid").bitwiseAND(F.lit((1 << _IDX_BITS) - 1))
+    here = F.expr("array(" + ",".join(f"{int(rows[i]['_rows']) if i in rows else 0}L" for i in range(max(last + 1, 1))) + ")").getItem(F.col("_pid").cast("int"))
     laid = laid.withColumns({
-        "_pos": offset + F.col("_mid").bitwiseAND(F.lit((1 << _IDX_BITS) - 1)), "_all_rows": F.lit(total).cast("long")})
+        "_pos": offset + index, "_all_rows": F.lit(total).cast("long"), "_edge": (index == 0) | (index == here - 1)})
     local = Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
     for w in weights:
         offset, total = before(w)
@@ -55,11 +57,17 @@ def range_layout(df: DataFrame, keys: Sequence, weights: Sequence[str] = ()) ->
 
 
 def _spanning(laid: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column], prefix: str) -> DataFrame:
-    """Aggregates of the keys that continue across a partition edge: at most one row per partition."""
-    return F.broadcast(
-        laid.groupBy(*keys)
-        .agg(F.min("_pid").alias("_p0"), F.max("_pid").alias("_p1"), *[c.alias(prefix + n) for n, c in aggs.items()])
-        .filter(F.col("_p0") < F.col("_p1")).drop("_p0", "_p1"))
+    """Aggregates of the keys that continue across a partition edge: at most one row per partition.
+
+    Only the last key of a partition and the first of the next can continue, so those two rows of each partition tell
+    which keys to aggregate.
+    """
+    edge = Window.orderBy("_mid")  # two rows per partition
+    ends = laid.filter("_edge").select("_pid", "_mid", *keys, F.struct(*keys).alias("_key"))
+    crossing = ends.withColumns({"_before": F.lag("_key").over(edge), "_from": F.lag("_pid").over(edge)}).filter(
+        (F.col("_key") == F.col("_before")) & (F.col("_from") < F.col("_pid"))).select(*keys).distinct()
+    rows = laid.join(F.broadcast(crossing), list(keys), "left_semi")
+    return F.broadcast(rows.groupBy(*keys).agg(*[c.alias(prefix + n) for n, c in aggs.items()]))
 
 
 def positions(

@@ -80,6 +80,10 @@ PUBLIC_FIELDS = (
     "pub_day", "first_seen", "category", "pct", "ref_n", "screen_flags", "motive_cues",
 )
 PAGE_ROWS = 96
+PICK_ROWS = 600  # length of the daily picks stream
+CHAIN_SEEDS = 20  # most viewed seeds of each chain
+MAIN_USERS = 20  # strongest users, and probes from the rest
+PROBES = 7
 WEIGHT_SUBSETS = (  # name, favourite, coin, like
     ("L", 0.0, 0.0, 1.0), ("C", 0.0, 1.0, 0.0), ("F", 1.0, 0.0, 0.0), ("LC", 0.0, 1.0, 1.0),
     ("FC", 1.0, 1.0, 0.0), ("LFC", 1.0, 1.0, 1.0), ("BASE", 3.0, 2.0, 0.3),

@@ -89,24 +89,28 @@ def first_source_wins_dedupe(spark, sf):
 
 
 @query("backfill_incomplete", ["items"], """WITH_X SELECT b.item_id, coalesce(b.coin, s.coin) AS coin, coalesce(b.title, s.title) AS title, s.item_id IS NOT NULL AND b.coin IS NULL AS filled FROM (SELECT item_id, CASE WHEN rotate <> 90 THEN coin END AS coin, CASE WHEN rotate <> 90 THEN title END AS title FROM items) b
-  LEFT JOIN (SELECT * FROM items WHERE category <> '5-LOW' AND item_id IN (SELECT item_id FROM items WHERE rotate = 90 ORDER BY item_id LIMIT 250)) s ON s.item_id = b.item_id""".replace("WITH_X ", ""))
+  LEFT JOIN (SELECT * FROM items WHERE category <> '5-LOW' AND rotate = 90) s ON s.item_id = b.item_id""".replace("WITH_X ", ""))
 def backfill_incomplete(spark, sf):
-    """The first 250 broken rows take what the side table knows; the bound belongs to the operator."""
+    """Every broken row takes what the side table knows."""
     items = V.items(spark, sf)
     base = items.select("item_id", *[F.when(F.col("rotate") != 90, F.col(c)).alias(c) for c in ("coin", "title")])
-    broken = base.filter("coin is null").select("item_id").orderBy("item_id").limit(250)
+    broken = base.filter("coin is null").select("item_id")
     side = items.filter("category <> '5-LOW'").join(broken, "item_id", "left_semi").select("item_id", *[F.col(c).alias(f"s_{c}") for c in ("coin", "title")])
     out = base.join(side, "item_id", "left")
     return out.select("item_id", *[F.coalesce(c, f"s_{c}").alias(c) for c in ("coin", "title")], (F.col("coin").isNull() & F.col("s_title").isNotNull()).alias("filled"))
 
 
-@query("new_item_antijoin", ["items", "related"], """SELECT item_id FROM (SELECT item_id FROM items WHERE pub_ts >= TIMESTAMP '2001-01-01' UNION SELECT l_orderkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-06-01')
-  WHERE item_id NOT IN (SELECT doc_id FROM documents) AND item_id NOT IN (SELECT dst FROM related WHERE pos <= 2)""")
+@query("new_item_antijoin", ["items"], """SELECT item_id FROM (SELECT item_id FROM items WHERE pub_ts >= TIMESTAMP '2001-01-01' UNION SELECT l_orderkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-06-01')
+  WHERE item_id NOT IN (SELECT doc_id FROM documents) AND item_id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM lineitem WHERE l_orderkey IN (SELECT item_id FROM items WHERE pub_ts < TIMESTAMP '1992-02-01')))""")
 def new_item_antijoin(spark, sf):
     today = V.items(spark, sf).filter("pub_ts >= '2001-01-01'").select("item_id").union(
         V.table(spark, sf, "lineitem").filter("l_shipdate >= '2001-06-01'").select("l_orderkey")).distinct()
     known = V.documents(spark, sf).select(F.col("doc_id").alias("item_id"))
-    nodes = V.related(spark, sf).filter("pos <= 2").select(F.col("dst").alias("item_id"))
+    # graph nodes: all items that share a part with one of the earliest seeds
+    lines = V.table(spark, sf, "lineitem").select("l_partkey", F.col("l_orderkey").alias("item_id"))
+    seeds = V.items(spark, sf).filter("pub_ts < '1992-02-01'").select("item_id")
+    parts = lines.join(seeds, "item_id", "left_semi").select("l_partkey").distinct()
+    nodes = lines.join(parts, "l_partkey", "left_semi").select("item_id").distinct()
     return today.join(known, "item_id", "left_anti").join(nodes, "item_id", "left_anti")
 
 
@@ -156,15 +160,11 @@ FP_FIELDS = ("item_id", "title", "view", "coin", "fav", "like_cnt")
 FP_ROW = "concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in FP_FIELDS) + ")"
 
 
-def fingerprint_sql(depth=3):
-    sql = f"SELECT substr(h, 1, {depth}) AS p, h || ':' || count(*) AS x FROM (SELECT sha256({FP_ROW}) AS h FROM items) GROUP BY h"
-    for d in range(depth, -1, -1):
-        parent = f"substr(p, 1, {d - 1})" if d > 1 else "''"
-        sql = f"SELECT {parent} AS p, h, p || ':' || h AS x FROM (SELECT p, sha256(string_agg(x, ',' ORDER BY x)) AS h FROM ({sql}) GROUP BY p)"
-    return f"SELECT h AS fingerprint FROM ({sql})"
+FP_LANES = ", ".join(f"CAST(sum(CAST(('0x' || substr(h, {15 * k + 1}, 15)) AS BIGINT)) AS VARCHAR)" for k in range(4))
+FP_SQL = f"SELECT sha256(concat_ws(':', CAST(count(*) AS VARCHAR), {FP_LANES})) AS fingerprint FROM (SELECT sha256({FP_ROW}) AS h FROM items)"
 
 
-@query("catalog_fingerprint", ["items"], fingerprint_sql())
+@query("catalog_fingerprint", ["items"], FP_SQL)
 def catalog_fingerprint(spark, sf):
     return K.fingerprint(V.items(spark, sf), FP_FIELDS)
 

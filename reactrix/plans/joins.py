@@ -12,7 +12,7 @@ from ..operators import aggregates as A
 from ..operators import catalog as K
 from ..operators import graph as G
 from ..operators import rules as R
-from ..params import DRIVER
+from ..params import CHAIN_SEEDS, DRIVER, MAIN_USERS, PROBES
 from ..session import shared_table
 from ..sources import views as V
 from .aggregations import HIGH, edge_items, inflow, mature, med
@@ -37,8 +37,10 @@ SEED_SQL = f"SELECT item_id, collectors, cbi FROM flow WHERE {HIGH} AND collecto
 shared_sql("seeds18", ["flow"], SEED_SQL + "18")
 
 
-def confluence(spark, sf, n=18):
-    return flow(spark, sf).filter(A.is_high() & (F.col("collectors") >= 3)).orderBy(F.desc("collectors"), F.desc(F.round("cbi", 6)), "item_id").limit(n)
+def confluence(spark, sf, n: int | None = 18):
+    """High items that at least three users collected: the first n, or all of them."""
+    found = flow(spark, sf).filter(A.is_high() & (F.col("collectors") >= 3))
+    return found if n is None else found.orderBy(F.desc("collectors"), F.desc(F.round("cbi", 6)), "item_id").limit(n)
 
 
 @query("confluence_seeds", ["seeds18"], "SELECT item_id, collectors, round(cbi, 6) AS cbi FROM seeds18")
@@ -60,7 +62,7 @@ def seed_fill(spark, sf):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-shared_sql("strengths", ["flow", "edges"], f"""SELECT user_id, sum(greatest(3, round(cbi, 6))) AS strength, count(*) AS seeds FROM (SELECT DISTINCT user_id, item_id FROM edges WHERE arm = 'N') JOIN (SELECT item_id, cbi FROM flow WHERE {HIGH} AND collectors >= 3 ORDER BY collectors DESC, round(cbi, 6) DESC, item_id LIMIT 400) USING (item_id)
+shared_sql("strengths", ["flow", "edges"], f"""SELECT user_id, sum(greatest(3, round(cbi, 6))) AS strength, count(*) AS seeds FROM (SELECT DISTINCT user_id, item_id FROM edges WHERE arm = 'N') JOIN (SELECT item_id, cbi FROM flow WHERE {HIGH} AND collectors >= 3) USING (item_id)
   WHERE user_id NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY user_id""")
 
 
@@ -68,12 +70,12 @@ shared_sql("strengths", ["flow", "edges"], f"""SELECT user_id, sum(greatest(3, r
   SELECT 'main' AS kind, user_id, round(strength, 6) AS strength, seeds FROM main UNION ALL SELECT * FROM (SELECT 'probe', user_id, round(strength, 6), seeds FROM strengths WHERE user_id NOT IN (SELECT user_id FROM main) ORDER BY {h("'probe:' || user_id")}, user_id LIMIT 7)""")
 def user_flow_strength(spark, sf):
     """Seeds meet the users who touched them; strength sums max(3, seed index); mined users are out; probes come from the pruned."""
-    seeds = confluence(spark, sf, 400).select("item_id", F.greatest(F.lit(3.0), F.round("cbi", 6)).alias("w"))
+    seeds = confluence(spark, sf, None).select("item_id", F.greatest(F.lit(3.0), F.round("cbi", 6)).alias("w"))
     mined = V.table(spark, sf, "supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").alias("user_id"))
     touched = V.edges(spark, sf).filter("arm = 'N'").select("user_id", "item_id").distinct().join(seeds, "item_id")
     users = touched.join(mined, "user_id", "left_anti").groupBy("user_id").agg(F.sum("w").alias("strength"), F.count("*").alias("seeds"))
-    main = users.orderBy(F.desc(F.round("strength", 6)), "user_id").limit(20)
-    probes = users.join(main.select("user_id"), "user_id", "left_anti").orderBy(draw(F.concat(F.lit("probe:"), "user_id"), 1 << 31), "user_id").limit(7)
+    main = users.orderBy(F.desc(F.round("strength", 6)), "user_id").limit(MAIN_USERS)
+    probes = users.join(main.select("user_id"), "user_id", "left_anti").orderBy(draw(F.concat(F.lit("probe:"), "user_id"), 1 << 31), "user_id").limit(PROBES)
     return main.withColumn("kind", F.lit("main")).unionByName(probes.withColumn("kind", F.lit("probe")))
 
 
@@ -278,7 +280,7 @@ def two_level_chain(spark, sf):
     nodes = V.scored(spark, sf).withColumn("kind", R.near_miss())
 
     def biggest(kind, chain):
-        return nodes.filter(F.col("kind") == kind).orderBy(F.desc("view"), "item_id").limit(20).select(F.lit(chain).alias("chain"), "item_id")
+        return nodes.filter(F.col("kind") == kind).orderBy(F.desc("view"), "item_id").limit(CHAIN_SEEDS).select(F.lit(chain).alias("chain"), "item_id")
     return G.two_level_chain(biggest("signature", "signature").unionByName(biggest("none", "control")), V.related(spark, sf), nodes)
 
 
@@ -335,8 +337,8 @@ def numeric_review_queue(spark, sf):
     return rows.join(published, "doc_id", "left_anti").select("doc_id").orderBy(F.desc("doc_id"))
 
 
-@query("backfill_targets", ["ptiers"], """SELECT item_id, ptier, round(pct, 6) AS pct FROM ptiers WHERE item_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 0) AND rotate = 90 ORDER BY list_position(['top', 'fine', 'plain', 'poor', 'none'], ptier), pct DESC NULLS LAST, item_id LIMIT 100""")
+@query("backfill_targets", ["ptiers"], """SELECT item_id, ptier, round(pct, 6) AS pct FROM ptiers WHERE item_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 0) AND rotate = 90 ORDER BY list_position(['top', 'fine', 'plain', 'poor', 'none'], ptier), pct DESC NULLS LAST, item_id""")
 def backfill_targets(spark, sf):
     filled = V.table(spark, sf, "labels").filter("toxic = 0").select(F.col("doc_id").alias("item_id"))
     tier = F.array_position(F.array(*[F.lit(t) for t in ("top", "fine", "plain", "poor", "none")]), F.col("ptier"))
-    return ptiers(spark, sf).filter("rotate = 90").join(filled, "item_id", "left_anti").orderBy(tier, F.desc_nulls_last("pct"), "item_id").limit(100).select("item_id", "ptier", "pct")
+    return ptiers(spark, sf).filter("rotate = 90").join(filled, "item_id", "left_anti").orderBy(tier, F.desc_nulls_last("pct"), "item_id").select("item_id", "ptier", "pct")

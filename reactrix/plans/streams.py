@@ -38,9 +38,16 @@ def stream_feed_verdict(spark, sf):
     return S.latest_rows(changes, ["reason"])
 
 
-@query("verdict_cache_ttl")
+TTL = 1440  # minutes
+
+
+@query("verdict_cache_ttl", ["captures"], f"""SELECT strftime(ts, '%Y%m%d') AS day, count(*) AS judged, count(DISTINCT item_id) AS items FROM (
+  WITH RECURSIVE j AS (SELECT item_id, min(ts) AS ts FROM captures GROUP BY item_id
+    UNION ALL SELECT j.item_id, min(c.ts) AS ts FROM j JOIN captures c ON c.item_id = j.item_id AND c.ts >= j.ts + INTERVAL {TTL} MINUTE GROUP BY j.item_id, j.ts)
+  SELECT * FROM j) GROUP BY 1""")
 def verdict_cache_ttl(spark, sf):
-    kept = S.run_available(S.reused_verdicts(capture_stream(spark, sf)), "append", "reused")
+    changes = S.run_available(S.sightings(capture_stream(spark, sf)), "update", "sightings")
+    kept = S.judgements(S.latest_rows(changes, ["item_id"]), TTL)
     return kept.groupBy(F.date_format("ts", "yyyyMMdd").alias("day")).agg(F.count("*").alias("judged"), F.countDistinct("item_id").alias("items"))
 
 
@@ -50,7 +57,8 @@ def incremental_snapshot_state(spark, sf):
     return S.latest_rows(changes, ["item_id"])
 
 
-@query("daily_new_items", ["captures"], "SELECT strftime(ts, '%Y%m%d') AS day, count(*) AS new_items FROM (SELECT item_id, min(ts) AS ts FROM captures GROUP BY item_id) GROUP BY 1")
+@query("daily_new_items", ["captures"], """SELECT strftime(ts, '%Y%m%d') AS day, source, count(*) AS new_items, count(*) FILTER (valid) AS valid FROM (
+  SELECT item_id, min(ts) AS ts, arg_min(event_type, (ts, capture_id)) AS source, arg_min(complete, (ts, capture_id)) AS valid FROM captures GROUP BY item_id) GROUP BY 1, 2""")
 def daily_new_items(spark, sf):
-    out = S.run_available(S.first_seen_per_day(capture_stream(spark, sf, 1)), "append", "daily")
-    return out.select(F.date_format("day.start", "yyyyMMdd").alias("day"), "new_items")
+    changes = S.run_available(S.first_seen(capture_stream(spark, sf)), "update", "daily")
+    return S.new_per_day(S.latest_rows(changes, ["item_id"]))

@@ -11,7 +11,7 @@ from ..operators import aggregates as A
 from ..operators import captures as C
 from ..operators import rules as R
 from ..operators import sampling as SM
-from ..params import NAMED_FORMULAS
+from ..params import NAMED_FORMULAS, PICK_ROWS
 from ..sources import views as V
 from .aggregations import item_labels
 from .projections import CUES_SQL, FLAGS_SQL, FORM_SQL, FORMS, NEAR, SIG, flagged
@@ -116,7 +116,7 @@ def daily_streams(spark, sf):
         F.struct(F.lit("archive").alias("stream"), F.col("item_id").cast("double").alias("k")),
         F.when(F.col("eligible"), F.struct(F.concat(F.lit("day:"), "day").alias("stream"), view.alias("k")))))
     rows = df.select("item_id", F.explode(tags).alias("t")).select("item_id", "t.*")
-    picks = df.filter("eligible and pct >= 0.85 and ref_n >= 30").select("item_id", F.lit("picks").alias("stream"), F.round(-F.col("pct"), 6).alias("k")).orderBy("k", "item_id").limit(600)
+    picks = df.filter("eligible and pct >= 0.85 and ref_n >= 30").select("item_id", F.lit("picks").alias("stream"), F.round(-F.col("pct"), 6).alias("k")).orderBy("k", "item_id").limit(PICK_ROWS)
     return rows.unionByName(picks).groupBy("stream").agg(F.count("*").alias("n"), F.min_by("item_id", F.struct("k", "item_id")).alias("first_item"))
 
 

@@ -25,9 +25,20 @@ def verdict_counts(feed: DataFrame, rules: FeedRules) -> DataFrame:
         F.count("*").alias("n"), F.count_if("hide").alias("cut"), F.sum("view").alias("views"))
 
 
-def reused_verdicts(feed: DataFrame, minutes: int = 1440, key: str = "item_id", ts: str = "ts") -> DataFrame:
-    """First sighting of an item inside the reuse window; later sightings reuse its verdict and are dropped."""
-    return feed.withWatermark(ts, f"{minutes} minutes").dropDuplicatesWithinWatermark([key])
+def sightings(feed: DataFrame, key: str = "item_id", ts: str = "ts") -> DataFrame:
+    """Per item the distinct times it was seen, in order, kept as state: late files change the past, none is dropped."""
+    return feed.groupBy(key).agg(F.array_sort(F.collect_set(ts)).alias("seen"))
+
+
+def judgements(seen: DataFrame, minutes: int = 1440, key: str = "item_id") -> DataFrame:
+    """(key, ts) of each judgement: the first sighting, then each one at least `minutes` after the last judgement."""
+    none = F.array().cast("array<timestamp>")
+
+    def judged(done, ts):
+        due = (F.size(done) == 0) | (F.unix_micros(ts) - F.unix_micros(F.element_at(done, -1)) >= minutes * 60_000_000)
+        return F.when(due, F.array_append(done, ts)).otherwise(done)
+
+    return seen.select(key, F.explode(F.aggregate("seen", none, judged)).alias("ts"))
 
 
 def snapshot_state(captures: DataFrame) -> DataFrame:
@@ -38,10 +49,16 @@ def snapshot_state(captures: DataFrame) -> DataFrame:
     return C.latest_snapshot(captures)
 
 
-def first_seen_per_day(captures: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Tumbling day counts of items that appear for the first time."""
-    fresh = captures.withWatermark("ts", delay).dropDuplicates(["item_id"])
-    return fresh.groupBy(F.window("ts", "1 day").alias("day")).agg(F.count("*").alias("new_items"), F.count_if("complete").alias("valid"))
+def first_seen(captures: DataFrame) -> DataFrame:
+    """Per item its earliest capture, whatever order files arrive in: time, source and whether it was complete."""
+    first = F.struct("ts", "capture_id")
+    return captures.groupBy("item_id").agg(
+        F.min("ts").alias("ts"), F.min_by("event_type", first).alias("source"), F.min_by("complete", first).alias("valid"))
+
+
+def new_per_day(first: DataFrame) -> DataFrame:
+    """Per day and source: items seen for the first time, and how many of those first captures were complete."""
+    return first.groupBy(F.date_format("ts", "yyyyMMdd").alias("day"), "source").agg(F.count("*").alias("new_items"), F.count_if("valid").alias("valid"))
 
 
 def run_available(stream: DataFrame, mode: str, label: str) -> DataFrame:

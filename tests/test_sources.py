@@ -129,3 +129,50 @@ def test_hop_stops(spark):
     hops = spark.createDataFrame([(1, 0.25, 18), (2, 0.24, 18), (3, 0.20, 18), (4, 0.3, 18)], "hop long, rate double, n_seeds long")
     got = [(r["hop"], r["reason"]) for r in K.hop_stops(hops, 1).orderBy("hop").collect()]
     assert got == [(1, None), (2, None), (3, "ratio")]
+
+
+def test_staging_needs_a_shared_folder_off_local_masters(monkeypatch):
+    import pytest
+
+    from reactrix import session
+
+    class Conf:
+        def get(self, name):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+        def getCheckpointDir(self):
+            return None
+
+    class Fake:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.shared_dir(Fake())
+
+
+def test_shared_tables_follow_their_input(spark, tmp_path):
+    from reactrix.session import drop_stage, shared_table, stage
+
+    folder = f"{tmp_path}/in"
+    spark.range(3).write.parquet(f"{folder}/a.parquet")
+
+    def read():
+        return shared_table(spark, folder, "count_a", lambda: spark.read.parquet(f"{folder}/*")).count()
+
+    assert read() == 3 and read() == 3
+    spark.range(4).write.parquet(f"{folder}/b.parquet")
+    assert read() == 7
+    kept = stage(spark.range(5).toDF("id"), "gone")
+    folders = {f.rsplit("/", 1)[0].removeprefix("file:").replace("///", "/") for f in kept.inputFiles()}
+    drop_stage(kept)
+    import os
+    assert folders and not any(os.path.exists(f) for f in folders)
+    outside = spark.read.parquet(f"{folder}/a.parquet")
+    drop_stage(outside)
+    assert outside.count() == 3
