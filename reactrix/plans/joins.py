@@ -229,32 +229,32 @@ def walk(spark, sf, depth=None):
         confluence(spark, sf).select("item_id"), V.related(spark, sf), ptiers(spark, sf), G.POLICIES, depth))
 
 
-@query("frontier_expansion")
-def frontier_expansion(spark, sf):
-    return G.hop_summary(walk(spark, sf))
-
-
-@query("frontier_status")
-def frontier_status(spark, sf):
-    return G.walk_status(walk(spark, sf))
-
-
 def walk_sql(depth):
     """The same walk unrolled for a fixed depth."""
-    pol = "(VALUES " + ", ".join(f"('{p.name}', {p.width}, {p.least}, {p.second_tier}, '{p.order}')" for p in G.POLICIES) + ") p(policy, width, least_n, two, ord)"
-    parts = [f"f0 AS (SELECT policy, width, least_n, two, ord, item_id AS seed, item_id FROM seeds18, {pol})", "v0 AS (SELECT policy, seed, item_id FROM f0)"]
+    pol = "(VALUES " + ", ".join(f"('{p.name}', {p.width}, {p.least}, {p.second_tier}, '{p.order}', {p.cap})" for p in G.POLICIES) + ") p(policy, width, least_n, two, ord, cap)"
+    parts = [f"f0 AS (SELECT policy, width, least_n, two, ord, cap, item_id AS seed, item_id FROM seeds18, {pol})", "v0 AS (SELECT policy, seed, item_id FROM f0)"]
     for i in range(1, depth + 1):
         rnd = h(f"policy || ':' || seed || ':{i}:' || item_id")
         parts.append(f"""n{i} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY policy, seed ORDER BY in_pool DESC, tier, k, item_id) AS choice, count(*) FILTER (in_pool) OVER (PARTITION BY policy, seed) AS pool_n FROM (
   SELECT x.*, ptier, ptier = 'top' OR (ptier = 'fine' AND two) AS in_pool, CASE WHEN ptier = 'fine' AND ord <> 'random' THEN 1 ELSE 0 END AS tier,
     CASE ord WHEN 'best' THEN CASE WHEN ptier = 'top' THEN -pct ELSE 1e0 + {rnd} END WHEN 'random' THEN {rnd}::DOUBLE ELSE epoch(pub_ts) END AS k
-  FROM (SELECT DISTINCT policy, width, least_n, two, ord, seed, dst AS item_id FROM f{i - 1} JOIN related ON src = f{i - 1}.item_id) x JOIN ptiers USING (item_id) WHERE NOT EXISTS (SELECT 1 FROM v{i - 1} v WHERE v.policy = x.policy AND v.seed = x.seed AND v.item_id = x.item_id)))""")
-        parts.append(f"f{i} AS (SELECT policy, width, least_n, two, ord, seed, item_id FROM n{i} WHERE in_pool AND choice <= width AND pool_n >= least_n)")
+  FROM (SELECT DISTINCT policy, width, least_n, two, ord, cap, seed, dst AS item_id FROM f{i - 1} JOIN related ON src = f{i - 1}.item_id WHERE cap >= {i}) x JOIN ptiers USING (item_id) WHERE NOT EXISTS (SELECT 1 FROM v{i - 1} v WHERE v.policy = x.policy AND v.seed = x.seed AND v.item_id = x.item_id)))""")
+        parts.append(f"f{i} AS (SELECT policy, width, least_n, two, ord, cap, seed, item_id FROM n{i} WHERE in_pool AND choice <= width AND pool_n >= least_n)")
         parts.append(f"v{i} AS (SELECT * FROM v{i - 1} UNION ALL SELECT policy, seed, item_id FROM n{i})")
     body = " UNION ALL ".join(f"SELECT policy, seed, CAST({i} AS BIGINT) AS hop, count(*) AS reached, count(*) FILTER (ptier = 'top') AS tops, count(*) FILTER (ptier = 'fine') AS fines, max(pool_n) AS pool_n, count(*) FILTER (in_pool AND choice <= width AND pool_n >= least_n) AS chosen, min(item_id) FILTER (in_pool AND choice <= width AND pool_n >= least_n) AS least_chosen FROM n{i} GROUP BY policy, seed" for i in range(1, depth + 1))
     return ", " + ", ".join(parts) + " " + body
 
 
+@query("frontier_expansion", ["seeds18", "related", "ptiers"], walk_sql(25))
+def frontier_expansion(spark, sf):
+    return G.hop_summary(walk(spark, sf))
+
+
+@query("frontier_status")
+def frontier_status(spark, sf):
+    return G.walk_status(walk(spark, sf))
+
+
 @query("frontier_three_hops", ["seeds18", "related", "ptiers"], walk_sql(3))
 def frontier_three_hops(spark, sf):
     return G.hop_summary(walk(spark, sf, depth=3))
