@@ -50,6 +50,15 @@ def _by_policy(policies: Sequence[Policy], field: str) -> Column:
     return F.element_at(F.create_map(*[x for p in policies for x in (F.lit(p.name), F.lit(getattr(p, field)))]), F.col("policy"))
 
 
+def related(front: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, src, dst): where the items of a frontier lead. Edges are (src, dst), or memberships (part, item), which
+    are followed from item to part to item for the frontier only."""
+    if "part" not in edges.columns:
+        return front.join(edges, F.col("item_id") == F.col("src")).select(*keys, "src", "dst")
+    parts = front.join(edges.withColumnRenamed("item", "src"), F.col("item_id") == F.col("src")).select(*keys, "src", "part")
+    return parts.join(edges.withColumnRenamed("item", "dst"), "part").filter("src <> dst").select(*keys, "src", "dst")
+
+
 def frontier_expansion(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, policies: Sequence[Policy] = POLICIES,
                        depth: int | None = None, budget: int | None = None) -> DataFrame:
     """Every node reached: (policy, seed, hop, item_id, ptier, in_pool, spent, chosen).
@@ -69,8 +78,8 @@ def frontier_expansion(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, pol
         if budget is not None:
             live = live.filter(F.col("spent") < budget)
         cost = live.groupBy(*KEY).agg((F.max("spent") + F.count("*")).alias("spent"))
-        reached = live.join(edges, F.col("item_id") == F.col("src")).groupBy(*KEY, F.col("dst").alias("item_id")).agg(F.count("*").alias("links"))
-        fresh = reached.join(visited, [*KEY, "item_id"], "left_anti").join(scores, "item_id").join(cost, KEY)
+        reached = related(live, edges, KEY).select(*KEY, F.col("dst").alias("item_id")).distinct()
+        fresh = reached.join(visited, [*KEY, "item_id"], "left_anti").join(scores, "item_id").join(F.broadcast(cost), KEY)
         pool = (F.col("ptier") == "top") | ((F.col("ptier") == "fine") & _by_policy(policies, "second_tier"))
         later = (F.col("ptier") == "fine") & (_by_policy(policies, "order") != "random")
         table = stage(fresh.select(
@@ -78,7 +87,7 @@ def frontier_expansion(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, pol
             _choice_key(policies, hop).alias("_key"), "spent"), f"hop{hop}")
         enough = table.groupBy(*KEY).agg(F.count_if("in_pool").alias("_n")).filter(F.col("_n") >= _by_policy(policies, "least")).drop("_n")
         best = O.top_per_group(table.filter("in_pool"), KEY, ["_later", "_key", "item_id"], widest, "choice").filter(F.col("choice") <= _by_policy(policies, "width"))
-        chosen = stage(best.join(enough, KEY).select(*KEY, "hop", "item_id", "spent"), f"chosen{hop}")
+        chosen = stage(best.join(F.broadcast(enough), KEY).select(*KEY, "hop", "item_id", "spent"), f"chosen{hop}")
         reached_tables.append(table.drop("_later", "_key"))
         chosen_tables.append(chosen.select(*KEY, "hop", "item_id", F.lit(True).alias("chosen")))
         visited = visited.unionByName(table.select(*KEY, "item_id"))
@@ -110,7 +119,7 @@ def walk_status(walk: DataFrame, policies: Sequence[Policy] = POLICIES, budget:
 def two_level_chain(seeds: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Seeds to related items (level 1), the two best hits per seed expanded again (level 2); rates per chain."""
     def expand(front, level):
-        near = front.join(edges, F.col("item_id") == F.col("src")).select("chain", "seed", F.col("dst").alias("item_id"), F.lit(level).alias("level")).distinct()
+        near = related(front, edges, ["chain", "seed"]).select("chain", "seed", F.col("dst").alias("item_id"), F.lit(level).alias("level")).distinct()
         return near.join(nodes.select("item_id", "kind", "like_rate"), "item_id")
 
     one = expand(seeds.withColumn("seed", F.col("item_id")), 1)

@@ -161,6 +161,7 @@ class Driver:
 
     capture_time: str = "2001-08-02 00:00:00"
     reference_cutoff: str = "1999-01-01 00:00:00"
+    first_walk: str = "1992-02-01 00:00:00"
     tiers: TierRules = field(default_factory=lambda: TierRules(strong=("gizmo",), weak=("cold", "old", "rod")))
     feed: FeedRules = field(default_factory=lambda: FeedRules(
         block=("^red.*(rod|anvil)$", "^hot b"), begging=("small .{0,6}ring", "new g"), whitelist=("URGENT",)))

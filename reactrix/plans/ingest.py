@@ -100,17 +100,13 @@ def backfill_incomplete(spark, sf):
     return out.select("item_id", *[F.coalesce(c, f"s_{c}").alias(c) for c in ("coin", "title")], (F.col("coin").isNull() & F.col("s_title").isNotNull()).alias("filled"))
 
 
-@query("new_item_antijoin", ["items"], """SELECT item_id FROM (SELECT item_id FROM items WHERE pub_ts >= TIMESTAMP '2001-01-01' UNION SELECT l_orderkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-06-01')
-  WHERE item_id NOT IN (SELECT doc_id FROM documents) AND item_id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM lineitem WHERE l_orderkey IN (SELECT item_id FROM items WHERE pub_ts < TIMESTAMP '1992-02-01')))""")
+@query("new_item_antijoin", ["items", "walk_nodes"], """SELECT item_id FROM (SELECT item_id FROM items WHERE pub_ts >= TIMESTAMP '2001-01-01' UNION SELECT l_orderkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-06-01')
+  WHERE item_id NOT IN (SELECT doc_id FROM documents) AND item_id NOT IN (SELECT item_id FROM walk_nodes)""")
 def new_item_antijoin(spark, sf):
     today = V.items(spark, sf).filter("pub_ts >= '2001-01-01'").select("item_id").union(
         V.table(spark, sf, "lineitem").filter("l_shipdate >= '2001-06-01'").select("l_orderkey")).distinct()
     known = V.documents(spark, sf).select(F.col("doc_id").alias("item_id"))
-    # graph nodes: all items that share a part with one of the earliest seeds
-    lines = V.table(spark, sf, "lineitem").select("l_partkey", F.col("l_orderkey").alias("item_id"))
-    seeds = V.items(spark, sf).filter("pub_ts < '1992-02-01'").select("item_id")
-    parts = lines.join(seeds, "item_id", "left_semi").select("l_partkey").distinct()
-    nodes = lines.join(parts, "l_partkey", "left_semi").select("item_id").distinct()
+    nodes = V.walk_nodes(spark, sf)
     return today.join(known, "item_id", "left_anti").join(nodes, "item_id", "left_anti")
 
 

@@ -145,40 +145,39 @@ def seed_type_stratified_rate(spark, sf):
 
 
 CUT = f"TIMESTAMP '{DRIVER.reference_cutoff}'"
-shared_sql("neighbours", ["related", "banded"], "SELECT r.src, r.dst, r.pos, t.coin_rate AS target_rate, b.coin_rate, b.pub_ts, b.view FROM related r JOIN banded b ON b.item_id = r.dst JOIN banded t ON t.item_id = r.src")
-
-
-def neighbours(spark, sf):
-    nodes = V.banded(spark, sf)
-    there = nodes.select(F.col("item_id").alias("dst"), "coin_rate", "pub_ts", "view")
-    here = nodes.select(F.col("item_id").alias("src"), F.col("coin_rate").alias("target_rate"))
-    return V.related(spark, sf).join(there, "dst").join(here, "src")
+shared_sql("neighbours", ["related", "banded"], "SELECT r.src, r.dst, t.coin_rate AS target_rate, b.coin_rate, b.pub_ts, b.view FROM related r JOIN banded b ON b.item_id = r.dst JOIN banded t ON t.item_id = r.src")
 
 
 @query("reference_overlap", ["neighbours"], f"""SELECT src, count(*) AS n, count(*) FILTER (pub_ts >= {CUT}) AS outside, round(count(*) FILTER (pub_ts >= {CUT}) * 1e0 / count(*), 6) AS outside_share, count(*) FILTER (pub_ts >= {CUT} AND view >= 3000) AS outside_mature FROM neighbours GROUP BY src""")
 def reference_overlap(spark, sf):
-    nodes = V.banded(spark, sf)
-    ref = nodes.filter(F.col("pub_ts") < F.lit(DRIVER.reference_cutoff).cast("timestamp")).select(F.col("item_id").alias("dst"), F.lit(True).alias("known"))
-    rows = V.related(spark, sf).join(nodes.select(F.col("item_id").alias("dst"), "view"), "dst").join(ref, "dst", "left")
-    out = F.col("known").isNull()
-    return rows.groupBy("src").agg(F.count("*").alias("n"), F.count_if(out).alias("outside"), A.share(out).alias("outside_share"), F.count_if(out & (F.col("view") >= 3000)).alias("outside_mature"))
+    """Links of an item to items of its parts, and how many lead outside the frozen reference: totals per part, less the item itself."""
+    late = F.col("pub_ts") >= F.lit(DRIVER.reference_cutoff).cast("timestamp")
+    nodes = V.banded(spark, sf).select(F.col("item_id").alias("item"), late.cast("long").alias("out"), (late & (F.col("view") >= 3000)).cast("long").alias("grown"))
+    rows = V.members(spark, sf).join(nodes, "item")
+    parts = rows.groupBy("part").agg(F.count("*").alias("n"), F.sum("out").alias("outs"), F.sum("grown").alias("growns")).filter("n > 1")
+    totals = rows.join(parts, "part").groupBy(F.col("item").alias("src")).agg(
+        F.sum(F.col("n") - 1).alias("n"), F.sum(F.col("outs") - F.col("out")).alias("outside"), F.sum(F.col("growns") - F.col("grown")).alias("outside_mature"))
+    return totals.withColumn("outside_share", F.col("outside") / F.col("n"))
 
 
 @query("neighbourhood_vs_band_percentile", ["neighbours", "banded"], """SELECT src, n, round(CASE WHEN n = 1 THEN 0.5e0 ELSE below * 1e0 / (n - 1) END, 6) AS local_pct, round(pct, 6) AS band_pct FROM (SELECT src, count(*) AS n, count(*) FILTER (coin_rate < target_rate) AS below FROM neighbours GROUP BY src) JOIN banded ON item_id = src""")
 def neighbourhood_vs_band_percentile(spark, sf):
-    local = neighbours(spark, sf).groupBy("src").agg(F.count("*").alias("n"), F.count_if(F.col("coin_rate") < F.col("target_rate")).alias("below"))
-    pct = V.banded(spark, sf).select(F.col("item_id").alias("src"), F.col("pct").alias("band_pct"))
-    return local.join(pct, "src").select("src", "n", F.when(F.col("n") == 1, 0.5).otherwise(F.col("below") / (F.col("n") - 1)).alias("local_pct"), "band_pct")
+    """Share of an item's links that lead to lower rates: its exact place within each of its parts, added up."""
+    nodes = V.banded(spark, sf).select(F.col("item_id").alias("item"), "coin_rate", F.col("pct").alias("band_pct"))
+    placed = O.positions(V.members(spark, sf).join(nodes, "item"), ["part"], ["coin_rate", "item"], ties=["coin_rate"])
+    local = placed.filter("group_n > 1").groupBy(F.col("item").alias("src")).agg(
+        F.sum(F.col("group_n") - 1).alias("n"), F.sum("tie_first").alias("below"), F.first("band_pct").alias("band_pct"))
+    return local.select("src", "n", F.when(F.col("n") == 1, 0.5).otherwise(F.col("below") / (F.col("n") - 1)).alias("local_pct"), "band_pct")
 
 
-shared_sql("pool_rows", ["banded", "related"], """
+shared_sql("pool_rows", ["banded", "walk_nodes"], """
 SELECT coalesce(p.item_id, n.item_id) AS item_id, CASE WHEN p.item_id IS NOT NULL THEN 'population' ELSE 'node' END AS origin, coalesce(p.title, n.title) AS title, coalesce(p.view, n.view) AS view, coalesce(p.duration, n.duration) AS duration, coalesce(p.owner_id, n.owner_id) AS owner_id,
   coalesce(p.pub_day, n.pub_day) AS pub_day, CASE WHEN p.category IS NULL OR p.category = 'other' THEN coalesce(n.category, p.category, 'other') ELSE p.category END AS category, least(p.first_seen, n.first_seen) AS first_seen, p.item_id IS NULL AND n.coin IS NULL AS approximate,
   CASE WHEN p.item_id IS NOT NULL THEN p.coin ELSE coalesce(n.coin, CAST(round_even(n.coin_rate * n.view, 0) AS BIGINT)) END AS coin, CASE WHEN p.item_id IS NOT NULL THEN p.fav ELSE coalesce(n.fav, CAST(round_even(n.fav_rate * n.view, 0) AS BIGINT)) END AS fav,
   CASE WHEN p.item_id IS NOT NULL THEN p.like_cnt ELSE coalesce(n.like_cnt, CAST(round_even(n.like_rate * n.view, 0) AS BIGINT)) END AS like_cnt
 FROM (SELECT item_id, title, view, duration, owner_id, CASE WHEN rotate = 0 THEN strftime(pub_ts, '%Y%m%d') END AS pub_day, CASE WHEN duration > 900 THEN 'other' ELSE category END AS category, strftime(pub_ts, '%Y%m%d') AS first_seen, coin, fav, like_cnt FROM banded WHERE source IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE')) p
 FULL OUTER JOIN (SELECT item_id, title, view, duration, owner_id, strftime(pub_ts, '%Y%m%d') AS pub_day, category, '19970101' AS first_seen, CASE WHEN width > height THEN coin END AS coin, CASE WHEN width > height THEN fav END AS fav, CASE WHEN width > height THEN like_cnt END AS like_cnt,
-    round(coin_rate, 4) AS coin_rate, round(fav_rate, 4) AS fav_rate, round(like_rate, 4) AS like_rate FROM banded WHERE item_id IN (SELECT dst FROM related WHERE pos <= 2)) n ON p.item_id = n.item_id""")
+    round(coin_rate, 4) AS coin_rate, round(fav_rate, 4) AS fav_rate, round(like_rate, 4) AS like_rate FROM banded WHERE item_id IN (SELECT item_id FROM walk_nodes)) n ON p.item_id = n.item_id""")
 shared_sql("pool_pct", ["pool_rows", "banded"], f"""SELECT * EXCLUDE (is_ref, below), CASE WHEN view >= 3000 AND ref_n >= 3 THEN below::DOUBLE / ref_n END AS pct FROM (SELECT *, CAST(sum(is_ref) OVER (PARTITION BY band) AS BIGINT) AS ref_n,
     CAST(sum(is_ref) OVER (PARTITION BY band ORDER BY coin_rate RANGE UNBOUNDED PRECEDING) - sum(is_ref) OVER (PARTITION BY band, coin_rate) AS BIGINT) AS below
   FROM (SELECT *, coin * 1e0 / greatest(view, 1) AS coin_rate, fav * 1e0 / greatest(view, 1) AS fav_rate, like_cnt * 1e0 / greatest(view, 1) AS like_rate, CAST(round_even(log10(greatest(view, 10)) / 0.2e0, 0) AS BIGINT) AS band, 0 AS is_ref FROM pool_rows
@@ -193,7 +192,7 @@ def pool(spark, sf):
     population = items.filter(F.col("source").isin("AUTOMOBILE", "BUILDING", "FURNITURE")).select(
         "item_id", "title", "view", "duration", "owner_id", F.when(F.col("rotate") == 0, day).alias("pub_day"),
         F.when(F.col("duration") > 900, "other").otherwise(F.col("category")).alias("category"), day.alias("first_seen"), "coin", "fav", "like_cnt")
-    near = V.related(spark, sf).filter("pos <= 2").select(F.col("dst").alias("item_id")).distinct()
+    near = V.walk_nodes(spark, sf)
     exact = F.col("width") > F.col("height")
     nodes = items.join(near, "item_id", "left_semi").select(
         "item_id", "title", "view", "duration", "owner_id", day.alias("pub_day"), "category", F.lit("19970101").alias("first_seen"),
@@ -226,7 +225,7 @@ def catalog_build(spark, sf):
 def walk(spark, sf, depth=None):
     """Six policies from 18 confluence seeds; the walk is kept as a table for the reports on it."""
     return shared_table(spark, sf, f"walk{depth or ''}", lambda: G.frontier_expansion(
-        confluence(spark, sf).select("item_id"), V.related(spark, sf), ptiers(spark, sf), G.POLICIES, depth))
+        confluence(spark, sf).select("item_id"), V.members(spark, sf), ptiers(spark, sf), G.POLICIES, depth))
 
 
 def walk_sql(depth):
@@ -281,7 +280,7 @@ def two_level_chain(spark, sf):
 
     def biggest(kind, chain):
         return nodes.filter(F.col("kind") == kind).orderBy(F.desc("view"), "item_id").limit(CHAIN_SEEDS).select(F.lit(chain).alias("chain"), "item_id")
-    return G.two_level_chain(biggest("signature", "signature").unionByName(biggest("none", "control")), V.related(spark, sf), nodes)
+    return G.two_level_chain(biggest("signature", "signature").unionByName(biggest("none", "control")), V.members(spark, sf), nodes)
 
 
 shared_sql("year_hops", ["scored"], f"SELECT CAST(year - 1994 AS BIGINT) AS hop, round(avg(CASE WHEN {HIGH} THEN 1e0 ELSE 0e0 END), 6) AS rate, count(*) FILTER ({HIGH}) AS n_seeds FROM scored WHERE view >= 3000 GROUP BY year")

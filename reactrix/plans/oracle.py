@@ -58,20 +58,14 @@ FROM (SELECT *, CAST(sum(is_ref) OVER (PARTITION BY band) AS BIGINT) AS ref_n,
       CASE WHEN pub_ts < TIMESTAMP '{DRIVER.reference_cutoff}' AND view >= 3000 THEN 1 ELSE 0 END AS is_ref
     FROM scored))""",
     "edges": "SELECT DISTINCT l_suppkey AS user_id, l_orderkey AS item_id, l_returnflag AS arm FROM lineitem",
-    "related": """
-SELECT src, dst, min(pos) AS pos FROM (
-  SELECT a.item AS src, b.item AS dst,
-         CAST((a.line - 1) * 8 + d + CASE WHEN d < 0 THEN 5 ELSE 4 END AS INT) AS pos
-  FROM (SELECT part, item, line, row_number() OVER (PARTITION BY part ORDER BY item) AS r FROM members) a
-  JOIN (SELECT unnest([-4, -3, -2, -1, 1, 2, 3, 4]) AS d) s ON TRUE
-  JOIN (SELECT part, item, row_number() OVER (PARTITION BY part ORDER BY item) AS r FROM members) b
-    ON a.part = b.part AND b.r = a.r + d) GROUP BY src, dst""",
-    "members": "SELECT l_partkey AS part, l_orderkey AS item, min(l_linenumber) AS line FROM lineitem GROUP BY ALL",
+    "related": "SELECT a.item AS src, b.item AS dst FROM members a JOIN members b ON a.part = b.part AND a.item <> b.item",
+    "members": "SELECT DISTINCT l_partkey AS part, l_orderkey AS item FROM lineitem",
+    "walk_nodes": f"SELECT DISTINCT item AS item_id FROM members WHERE part IN (SELECT part FROM members WHERE item IN (SELECT item_id FROM items WHERE pub_ts < TIMESTAMP '{DRIVER.first_walk}'))",
     "captures": """
 SELECT user_id AS item_id, event_id AS capture_id, ts, value AS counter, event_type <> 'error' AS complete,
        event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS extra FROM events""",
 }
-NEEDS = {"scored": ["items"], "banded": ["scored"], "related": ["members"]}
+NEEDS = {"scored": ["items"], "banded": ["scored"], "related": ["members"], "walk_nodes": ["members", "items"]}
 
 
 def with_views(views, body: str, extra: dict[str, tuple[list[str], str]] | None = None) -> str:
@@ -92,4 +86,4 @@ def with_views(views, body: str, extra: dict[str, tuple[list[str], str]] | None
     if not done:
         return body
     text = {n: extra[n][1] if n in extra else VIEWS[n] for n in done}
-    return "WITH " + ",\n".join(f"{n} AS ({text[n]})" for n in done) + "\n" + body
+    return "WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n == 'related' else ''}({text[n]})" for n in done) + "\n" + body

@@ -5,14 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ordering import range_layout
 from ..functions.scores import band, with_scores
 from ..operators.percentiles import band_percentiles
 from ..params import DRIVER
 from ..session import shared_table
 
-NEIGHBOUR_REACH = 4  # a related list holds the nearest items of each shared part
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -64,25 +61,18 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_returnflag").alias("arm")).distinct())
 
 
-def build_related(lineitem: DataFrame) -> DataFrame:
-    """Per shared part, link an item to the nearest items by id: linear in the rows, whatever a part holds."""
-    members = lineitem.groupBy(F.col("l_partkey").alias("part"), F.col("l_orderkey").alias("item")).agg(
-        F.min("l_linenumber").alias("line"))
-    laid = range_layout(members, ["part", "item"]).select("part", "item", "line", "_pos")
-    steps = [d for d in range(-NEIGHBOUR_REACH, NEIGHBOUR_REACH + 1) if d]
-    wishes = laid.select(
-        F.col("part"), F.col("item").alias("src"), F.col("line"),
-        F.explode(F.array(*[F.lit(d) for d in steps])).alias("step"), F.col("_pos").alias("at"),
-    ).withColumn("_pos", F.col("at") + F.col("step"))
-    there = laid.select(F.col("part").alias("there_part"), F.col("item").alias("dst"), "_pos")
-    rank = (F.col("line") - 1) * len(steps) + F.col("step") + F.when(F.col("step") < 0, NEIGHBOUR_REACH + 1).otherwise(NEIGHBOUR_REACH)
-    return (wishes.join(there, "_pos").filter(F.col("part") == F.col("there_part"))
-            .groupBy("src", "dst").agg(F.min(rank).cast("int").alias("pos")))
-
-
-def related(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Item-to-item edges (src, dst, pos); pos orders an item's related list."""
-    return shared_table(spark, sf_dir, "related", lambda: build_related(table(spark, sf_dir, "lineitem")))
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct (part, item). Two items of one part are related, once per shared part; the pairs are never listed."""
+    return shared_table(spark, sf_dir, "members", lambda: table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("part"), F.col("l_orderkey").alias("item")).distinct())
+
+
+def walk_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that earlier walks have reached: those related to an item from before the first walk, and these themselves."""
+    held = members(spark, sf_dir)
+    seeds = items(spark, sf_dir).filter(F.col("pub_ts") < F.lit(DRIVER.first_walk).cast("timestamp")).select(F.col("item_id").alias("item"))
+    parts = held.join(seeds, "item", "left_semi").select("part").distinct()
+    return held.join(parts, "part", "left_semi").select(F.col("item").alias("item_id")).distinct()
 
 
 def banded(spark: SparkSession, sf_dir: str) -> DataFrame:
