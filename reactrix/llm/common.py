@@ -41,6 +41,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def slices(batches, rows: int = 500):
+    """Record batches of fewer rows, so that a task holds few whole texts as Python strings at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def crc32_text(column: Column) -> Column:
     """crc32 of the value as text, null as an empty text; decides what a model may learn from."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary"))

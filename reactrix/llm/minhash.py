@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from reactrix.session import stage
 
-from .common import documents, partitions, query
+from .common import documents, partitions, query, slices
 from .components import components
 
 WORDS = 5
@@ -38,7 +38,7 @@ PERCENT = 85
 FLOOR = 0.70
 BLOCK = 1024
 CHUNK = 60_000  # shingles hashed at once, to stay in the processor's cache
-WORD_CACHE = 400_000  # words whose hash a task remembers
+WORD_CACHE = 200_000  # words whose hash a task remembers
 
 
 def _odd(seed: int, n: int) -> np.ndarray:
@@ -108,21 +108,19 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = W
         import xxhash
 
         known = _WordHash()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                sets = [shingle_set(t, known, width) for t in batch.column(1).to_pylist()]
-                full = np.array([len(s) > 0 for s in sets], bool)
-                sig = signatures([s for s in sets if len(s)], bands * rows)
-                keys = band_keys(sig, bands, rows)
-                flags, small = iter(range(len(sig))), sig.astype(np.uint8)
-                at_row = [next(flags) if f else None for f in full]
-                sizes = np.where(full, bands, 0)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                    pa.array([None if k is None else small[k].tobytes() for k in at_row], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(keys.reshape(-1), pa.int64()))], names)
+        for batch in slices(batches):
+            sets = [shingle_set(t, known, width) for t in batch.column(1).to_pylist()]
+            full = np.array([len(s) > 0 for s in sets], bool)
+            sig = signatures([s for s in sets if len(s)], bands * rows)
+            keys = band_keys(sig, bands, rows)
+            flags, small = iter(range(len(sig))), sig.astype(np.uint8)
+            at_row = [next(flags) if f else None for f in full]
+            sizes = np.where(full, bands, 0)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                pa.array([None if k is None else small[k].tobytes() for k in at_row], pa.binary()),
+                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(keys.reshape(-1), pa.int64()))], names)
 
     schema = T.StructType([
         T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()),
@@ -138,7 +136,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int = WORDS) -> DataFra
         import xxhash
 
         known = _WordHash()
-        for batch in batches:
+        for batch in slices(batches):
             found = [shingle_set(t, known, width).tobytes() for t in batch.column(1).to_pylist()]
             same = [xxhash.xxh3_128_digest(s) == d for s, d in zip(found, batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "shingles"]).filter(pa.array(same, pa.bool_()))
@@ -168,32 +166,35 @@ def alike(pairs: DataFrame, sketches: DataFrame, hashes: int = BANDS * ROWS) ->
     return _beside(pairs, sketches, "sig").mapInArrow(work, _pairs_schema(pairs)).distinct()
 
 
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the limit."""
+    if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those of the pairs (u, v) whose full sets confirm the link."""
-    def linked(batches):
+    def work(batches):
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
-                    keep.append(False)
-                    continue
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
+            keep = [linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent)
+                    for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return _beside(pairs, sets, "shingles").mapInArrow(linked, _pairs_schema(pairs)).distinct()
+    return _beside(pairs, sets, "shingles").mapInArrow(work, _pairs_schema(pairs)).distinct()
 
 
-def _across(shared: DataFrame, sketches: DataFrame, hashes: int, block: int) -> DataFrame:
-    """Pairs of one bucket and different components whose signatures allow a link, compared block by block."""
+def _across(shared: DataFrame, sketches: DataFrame, sets: DataFrame, hashes: int, block: int, percent: int) -> DataFrame:
+    """Links (u, v) between different components within a bucket, by signatures and then full sets, block by block: as
+    many as join the components that each block pair can join, so never more than the rows compared."""
     apart = shared.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
     apart = apart.filter("low < high").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     members = shared.join(apart, "bucket").select("bucket", "node", "component", "blocks", mine.alias("own"))
-    dealt = members.join(sketches.select(F.col("doc_id").alias("node"), "sig"), "node").select(
-        "bucket", "own", "node", "component", "sig", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "sig")
+    known = members.join(sketches.select(F.col("doc_id").alias("node"), "sig"), "node").join(sets.select(F.col("doc_id").alias("node"), "shingles"), "node")
+    dealt = known.select("bucket", "own", "node", "component", "sig", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "sig", "shingles")
     dealt = dealt.repartition(partitions(shared.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     least = FLOOR * hashes
     id_type = shared.schema["node"].dataType
@@ -237,18 +238,35 @@ def _across(shared: DataFrame, sketches: DataFrame, hashes: int, block: int) ->
     def compared(rows, last):
         if not rows.num_rows:
             return
-        at = cuts(rows)
-        found_u, found_v = [], []
-        node = rows.column(4)
+        at, found_u, found_v = cuts(rows), [], []
         for a, b in zip(at, at[1:] if last else at[1:-1]):
-            if b - a < 2:
-                continue
-            for x, y in pairs_of(rows.slice(a, b - a)):
-                found_u.append(x + a)
-                found_v.append(y + a)
-        if found_u:
-            u, v = node.take(pa.array(np.concatenate(found_u))), node.take(pa.array(np.concatenate(found_v)))
-            yield pa.RecordBatch.from_arrays([u, v], ["u", "v"])
+            if b - a > 1:
+                part = rows.slice(a, b - a)
+                for x, y in joined(part):
+                    found_u.append(a + x)
+                    found_v.append(a + y)
+        node = rows.column(4)
+        yield pa.RecordBatch.from_arrays([node.take(pa.array(found_u, pa.int64())), node.take(pa.array(found_v, pa.int64()))], ["u", "v"])
+
+    def joined(rows):
+        """A link for each union of two components."""
+        component, shingles = rows.column(5).to_pylist(), rows.column(7)
+        root = {c: c for c in component}
+
+        def find(c):
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        for xs, ys in pairs_of(rows):
+            for x, y in zip(xs.tolist(), ys.tolist()):
+                a, b = find(component[x]), find(component[y])
+                if a != b and linked(set_of(shingles, x), set_of(shingles, y), percent):
+                    root[a] = b
+                    yield x, y
+
+    def set_of(column, k):
+        return np.frombuffer(column[k].as_buffer(), np.uint64)
 
     schema = T.StructType([T.StructField("u", id_type), T.StructField("v", id_type)])
     found = dealt.mapInArrow(compare, schema)
@@ -272,7 +290,7 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, perce
     links = confirm(alike(spokes, sketches, hashes), sets, percent)
     found = stage(components(links), "components")
     placed = shared.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    more = confirm(_across(placed, sketches, hashes, block), sets, percent)
+    more = _across(placed, sketches, sets, hashes, block, percent)
     where = found.select(F.col("node").alias("v"), F.col("component").alias("to"))
     lifted = (more.join(where, "v", "left").select("u", F.coalesce("to", "v").alias("cv"))
               .join(where.select(F.col("v").alias("u"), F.col("to").alias("from")), "u", "left").select(F.coalesce("from", "u").alias("u"), F.col("cv").alias("v")))
