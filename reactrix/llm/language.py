@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc32_text, documents, query
+from .common import crc32_text, documents, query, slices
 
 PER_LANGUAGE = 2000
 MAX_GRAMS = 60_000
 SWITCH = 20.0  # nats; a few words of another language outweigh it
 TEXTS_AT_ONCE = 250
-WORD_CACHE = 500_000
+WORD_CACHE = 150_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 #: First code point of a range and the script written in it.
@@ -85,7 +85,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, max_grams: int = MAX_
         limit = F.when(F.col("lang") == name, F.lit(min(1.0, per_language / counts[name]))).otherwise(limit)
 
     def count(batches):
-        for batch in batches:
+        for batch in slices(batches, 5000):
             found: dict[str, Counter] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
@@ -244,7 +244,7 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame
     """Per row: doc_id, lang_pred, score, spans (start, end, lang; code points, end exclusive)."""
     def work(batches):
         scorer = _Scorer(model)
-        for batch in batches:
+        for batch in slices(batches):
             lang, score, spans = [], [], []
             texts = batch.column(1).to_pylist()
             for text, (found, sure, path) in zip(texts, judge(texts, scorer, switch)):
@@ -261,13 +261,13 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame
     return docs.select("doc_id", "text").mapInArrow(work, schema)
 
 
-def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, switch: float = SWITCH) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.3, switch: float = SWITCH) -> DataFrame:
     """The rows of `docs`, all columns, whose language is known with at least that score."""
     at = docs.columns.index("text")
 
     def work(batches):
         scorer = _Scorer(model)
-        for batch in batches:
+        for batch in slices(batches):
             found = judge(batch.column(at).to_pylist(), scorer, switch)
             yield batch.filter(pa.array([lang != "und" and score >= least for lang, score, _ in found], pa.bool_()))
 

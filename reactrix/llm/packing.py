@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from reactrix.session import stage
 
-from .common import documents, query
+from .common import documents, query, slices
 
 CAPACITY = 2048
 BUCKETS = 64
@@ -70,7 +70,7 @@ def tokenize(docs: DataFrame, vocabulary: str | None = None, ranks: str | None =
 
     def pieces(batches):
         encode = encoder(vocabulary, ranks)
-        for batch in batches:
+        for batch in slices(batches):
             ids, piece, start, length, raw = [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tokens = array("I", encode(text) if text else ())

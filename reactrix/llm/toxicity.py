@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from reactrix.session import stage
 
-from .common import crc32_text, documents, query
+from .common import crc32_text, documents, query, slices
 
 MAX_ROWS = 20_000
 MAX_TERMS = 5_000
@@ -101,7 +101,7 @@ def _counts(sample: DataFrame) -> DataFrame:
     """(term, toxic, clean, places): documents of either class with the term, and how many words it follows in toxic ones."""
     def work(batches):
         table = _Fold()
-        for batch in batches:
+        for batch in slices(batches, 2000):
             found: dict[tuple[str, str], list[int]] = {}
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = fold(text or "", table).split()
@@ -169,7 +169,7 @@ def _featured(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
     """The kept columns with total and dense weights."""
     def work(batches):
         automaton, table = lexicon.automaton(), _Fold()
-        for batch in batches:
+        for batch in slices(batches):
             values = [features(t, automaton, table) if len(automaton) else (0.0, 0.0) for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array([v[0] for v in values], pa.float64()),
                                               pa.array([v[1] for v in values], pa.float64())], [*keep, "weight", "dense"])
