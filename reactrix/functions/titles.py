@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,7 +19,7 @@ TITLE_FEATURES = (
 
 @F.pandas_udf(StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+    return text.str.normalize("NFKC")
 
 
 def folded(text: Column | str) -> Column:

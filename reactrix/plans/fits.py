@@ -10,7 +10,7 @@ from ..functions import stats as ST
 from ..operators import aggregates as A
 from ..operators import fits as M
 from ..params import DENOMINATORS, WEIGHT_SUBSETS
-from ..session import stage
+from ..session import shared_table, stage
 from ..sources import views as V
 from .aggregations import bucket_curve, curve_rows, edge_items, item_labels, mature, med, midrank_sql, upper, user_arm, inflow
 from .registry import query, shared_sql
@@ -222,6 +222,11 @@ BOOT_SQL = f"round(list_avg(rates), 6) AS mean, round(rates[{int(0.025 * REPLICA
 
 
 def bootstrap(spark, sf):
+    """Interval of each arm, computed once for all queries that read it."""
+    return shared_table(spark, sf, "bootstrap", lambda: resampled(spark, sf))
+
+
+def resampled(spark, sf):
     """Whole users drawn with replacement per arm; a replicate's draws meet their cluster by index."""
     users = edge_items(spark, sf).filter("view >= 3000").groupBy("arm", "user_id").agg(F.count("*").alias("n"), F.count_if(A.is_high()).alias("g"))
     clusters = stage(O.positions(users, ["arm"], ["user_id"]), "clusters")
@@ -244,7 +249,7 @@ def noise_interval_check(spark, sf):
     boot = bootstrap(spark, sf).filter("arm = 'N'")
     rates = edge_items(spark, sf).filter("view >= 3000").groupBy(F.col("arm").alias("hop")).agg(F.round(A.share(A.is_high()), 6).alias("rate"))
     lo, hi = boot.select(F.round("lo", 6)).scalar(), boot.select(F.round("hi", 6)).scalar()
-    return rates.withColumn("lo", lo).withColumn("hi", hi).withColumn("mean", boot.select("mean").scalar()).withColumn("inside", F.col("rate").between(F.col("lo"), F.col("hi"))).drop("mean")
+    return rates.withColumn("lo", lo).withColumn("hi", hi).withColumn("inside", F.col("rate").between(F.col("lo"), F.col("hi")))
 
 
 @query("wald_interval", ["edge_items"], """SELECT arm, n, round(p, 6) AS rate, round(greatest(p - w, 0), 6) AS lo, round(least(p + w, 1), 6) AS hi, main BETWEEN greatest(p - w, 0) AND least(p + w, 1) AS main_inside FROM (SELECT arm, n, p, 1.96e0 * sqrt(p * (1 - p) / n) AS w,
