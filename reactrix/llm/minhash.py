@@ -1,14 +1,15 @@
 """Near duplicates by MinHash: universal hash minima, banding, signature verification, star-based components.
 
 Texts are lower-cased (A-Z) and cut at ASCII white space; a document's set holds its distinct five-word shingles, or its
-whole word sequence where it has fewer words. Documents link where 100 * intersection >= 85 * union of the full sets,
-and a component's smallest id stands for it.
+whole word sequence where it has fewer words. Documents link where 100 * intersection >= percent * union of the full
+sets (80 unless the caller says otherwise; the contract of op4 says 85), and a component's smallest id stands for it.
 
 * Equal sets collapse first, so only one node per distinct set takes part, however many copies there are.
-* `bands` x `rows` universal hash minima; nodes that agree on a band share a bucket. With 30 x 6, two sets at the limit
-  of 0.85 miss each other in all bands with a probability under 1e-6 (less above it).
+* `bands` x `rows` universal hash minima; nodes that agree on a band share a bucket. Both follow from the limit: two sets
+  at it miss each other in all bands with a probability of at most 1e-6 (less above it). That is 35 x 5 at 0.80 and
+  30 x 6 at 0.85.
 * A bucket of n nodes never lists its n^2 pairs: each node is held against the bucket's hub, the member whose buckets are
-  fullest. Pairs pass if their 8-bit signatures agree on 70 % (5 standard deviations under the limit) and their full
+  fullest. Pairs pass if their 8-bit signatures agree to within 6 standard deviations under the limit and their full
   sets confirm the link.
 * Components of those links settle most buckets. Where members of one bucket are still apart, all pairs across
   components are compared by signature, in blocks of at most `block` members a side held in one task's memory, and
@@ -21,6 +22,8 @@ are returned; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,14 +36,34 @@ from .common import documents, partitions, query, slices
 from .components import components
 
 WORDS = 5
-BANDS, ROWS = 30, 6
-PERCENT = 85
-FLOOR = 0.70
+PERCENT = 80
+CONTRACT_PERCENT = 85  # of op4
+HASHES = 180  # minima a text takes at most, for choosing bands and rows
+MISS = 1e-6  # probability that two sets at the limit share no bucket
+SPREAD = 6  # standard deviations that the signatures of a link may lie under the limit
 BLOCK = 1024
 CHUNK = 60_000  # shingles hashed at once, to stay in the processor's cache
 WORD_CACHE = 200_000  # words whose hash a task remembers
 
 
+def banding(percent: int, hashes: int = HASHES, miss: float = MISS) -> tuple[int, int]:
+    """(bands, rows): the most rows with which `hashes` minima keep the chance to miss a pair at the limit to `miss`."""
+    if percent >= 100:
+        return 1, 1
+    best = None
+    for rows in range(1, hashes + 1):
+        bands = math.ceil(math.log(miss) / math.log1p(-(percent / 100) ** rows))
+        if best is None or bands * rows <= hashes:
+            best = bands, rows
+    return best
+
+
+def floor_of(percent: int, hashes: int) -> float:
+    """Least number of agreeing minima that the signatures of a link have."""
+    s = percent / 100
+    return hashes * (s - SPREAD * math.sqrt(s * (1 - s) / hashes))
+
+
 def _odd(seed: int, n: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -102,7 +125,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return _finish((grouped * mix).sum(axis=2, dtype=np.uint64) + salt).view(np.int64)
 
 
-def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = WORDS) -> DataFrame:
+def sketch(docs: DataFrame, bands: int, rows: int, width: int = WORDS) -> DataFrame:
     """Staged (doc_id, n_shingles, digest, sig, keys) of every row; sets themselves are not kept."""
     def sketches(batches):
         import xxhash
@@ -156,12 +179,14 @@ def _beside(pairs: DataFrame, sketches: DataFrame, column: str) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b")
 
 
-def alike(pairs: DataFrame, sketches: DataFrame, hashes: int = BANDS * ROWS) -> DataFrame:
+def alike(pairs: DataFrame, sketches: DataFrame, hashes: int, percent: int = PERCENT) -> DataFrame:
     """Those of the pairs (u, v) whose signatures allow the link."""
+    least = floor_of(percent, hashes)
+
     def work(batches):
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, hashes) for k in (2, 3))
-            yield batch.select(["u", "v"]).filter(pa.array((a == b).sum(axis=1) >= FLOOR * hashes))
+            yield batch.select(["u", "v"]).filter(pa.array((a == b).sum(axis=1) >= least))
 
     return _beside(pairs, sketches, "sig").mapInArrow(work, _pairs_schema(pairs)).distinct()
 
@@ -196,7 +221,7 @@ def _across(shared: DataFrame, sketches: DataFrame, sets: DataFrame, hashes: int
     dealt = known.select("bucket", "own", "node", "component", "sig", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "sig", "shingles")
     dealt = dealt.repartition(partitions(shared.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    least = FLOOR * hashes
+    least = floor_of(percent, hashes)
     id_type = shared.schema["node"].dataType
 
     def pairs_of(rows: pa.RecordBatch):
@@ -273,8 +298,10 @@ def _across(shared: DataFrame, sketches: DataFrame, sets: DataFrame, hashes: int
     return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, bands: int | None = None, rows: int | None = None, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id, kept. Bands and rows follow from the limit unless both are given."""
+    if bands is None or rows is None:
+        bands, rows = banding(percent)
     hashes = bands * rows
     sketches = sketch(docs, bands, rows)
     nodes = stage(sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(
@@ -287,7 +314,7 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, perce
     spokes = shared.join(hubs.select("bucket", F.col("best.node").alias("hub")), "bucket").filter("node != hub")
     spokes = spokes.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
     sets = full_sets(docs, nodes.join(shared.select("node").distinct(), "node").select("node", "digest"))
-    links = confirm(alike(spokes, sketches, hashes), sets, percent)
+    links = confirm(alike(spokes, sketches, hashes, percent), sets, percent)
     found = stage(components(links), "components")
     placed = shared.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     more = _across(placed, sketches, sets, hashes, block, percent)
@@ -313,4 +340,4 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 @query("op4_minhash_near_dedup")
 def op4_minhash_near_dedup(spark, sf_dir):
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir), percent=CONTRACT_PERCENT)

@@ -74,3 +74,31 @@ def test_long_words_of_signature_blocks():
     sig = minhash.signatures(sets, 60)
     assert sig.shape == (3, 60) and minhash.band_keys(sig, 10, 6).shape == (3, 10)
     assert (minhash.signatures([sets[1]], 60)[0] == sig[1]).all()
+
+
+def test_default_and_stage_take_sets_from_080(spark):
+    """Pairs on both sides of 0.80 and of 0.85: three changed words of 150 give 131/161, two give 136/156, four 126/166."""
+    import corpus_pipeline
+
+    rows = []
+    for k in range(30):
+        words = prose(300 + k, 150).split()
+        rows.append((10 * k, " ".join(words), "en", "s"))
+        for j in range(2 + k % 3):
+            words[20 + 30 * j] = f"new{k}x{j}"
+        rows.append((10 * k + 1, " ".join(words), "en", "s"))
+    docs = table(spark, rows)
+    want, _ = near_components(rows, 80)
+    strict, _ = near_components(rows, 85)
+    assert sum(i == c for i, c in want.items()) == 40 and sum(i == c for i, c in strict.items()) == 50
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == want
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {i for i, c in want.items() if i == c}
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, percent=85).collect()} == strict
+
+
+def test_bands_follow_the_limit():
+    assert minhash.banding(85) == (30, 6) and minhash.banding(80) == (35, 5)
+    for percent in (50, 70, 80, 85, 90, 95):
+        bands, rows = minhash.banding(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= 1e-6 and bands * rows <= minhash.HASHES
+        assert 0 < minhash.floor_of(percent, bands * rows) / (bands * rows) < percent / 100
