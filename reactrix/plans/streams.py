@@ -46,8 +46,8 @@ TTL = 1440  # minutes
     UNION ALL SELECT j.item_id, min(c.ts) AS ts FROM j JOIN captures c ON c.item_id = j.item_id AND c.ts >= j.ts + INTERVAL {TTL} MINUTE GROUP BY j.item_id, j.ts)
   SELECT * FROM j) GROUP BY 1""")
 def verdict_cache_ttl(spark, sf):
-    changes = S.run_available(S.sightings(capture_stream(spark, sf)), "update", "sightings")
-    kept = S.judgements(S.latest_rows(changes, ["item_id"]), TTL)
+    seen = S.run_available(S.sighting_rows(capture_stream(spark, sf)), "append", "sightings")
+    kept = S.judgement_rows(seen, TTL)
     return kept.groupBy(F.date_format("ts", "yyyyMMdd").alias("day")).agg(F.count("*").alias("judged"), F.countDistinct("item_id").alias("items"))
 
 

@@ -57,3 +57,34 @@ def test_verdicts_are_reused_for_a_while(spark, tmp_path):
     changes = S.run_available(S.sightings(written(spark, tmp_path, rows)), "update", "seen")
     got = S.judgements(S.latest_rows(changes, ["item_id"]), minutes).select("item_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts")).collect()
     assert sorted(map(tuple, got)) == sorted((i, str(t)) for i, t in want)
+
+
+def test_an_item_with_a_third_of_the_captures_stays_rows(spark, tmp_path, monkeypatch):
+    """The table behind the query holds one scalar row per sighting, and the links cross the edges of partitions."""
+    from pyspark.sql import types as T
+
+    from reactrix.plans import streams as P
+
+    rng = random.Random(8)
+    rows = [(7 if k % 3 == 0 else rng.randrange(50), k, DAY + dt.timedelta(minutes=rng.randrange(200 * 1440)), "view", True) for k in range(3000)]
+    rows += [(None, 5000 + k, DAY + dt.timedelta(days=k), "view", True) for k in range(3)] + [(1, 6000, None, "view", True)]
+    want = Counter()
+    for item in {r[0] for r in rows}:
+        last = None
+        for ts in sorted({r[2] for r in rows if r[0] == item and r[2] is not None}):
+            if last is None or ts - last >= dt.timedelta(minutes=P.TTL):
+                want[ts.strftime("%Y%m%d")] += 1
+                last = ts
+    tables = []
+    run = S.run_available
+
+    def noted(*args):
+        tables.append(run(*args))
+        return tables[-1]
+
+    monkeypatch.setattr(S, "run_available", noted)
+    monkeypatch.setattr(P, "capture_stream", lambda spark, sf: written(spark, tmp_path, rows))
+    got = {r.day: r.judged for r in P.verdict_cache_ttl(spark, "").collect()}
+    assert got == want
+    assert not any(isinstance(f.dataType, (T.ArrayType, T.MapType)) for f in tables[0].schema)
+    assert tables[0].count() == len({(r[0], r[2]) for r in rows if r[2] is not None})
