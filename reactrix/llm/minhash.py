@@ -210,6 +210,20 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
     return _beside(pairs, sets, "shingles").mapInArrow(work, _pairs_schema(pairs)).distinct()
 
 
+def _joined_batches(rest: pa.RecordBatch | None, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """All rows of both as one batch. Binary columns get 64-bit offsets: 32-bit ones are cut into chunks at 2 GB."""
+    schema = pa.schema([pa.field(f.name, pa.large_binary() if pa.types.is_binary(f.type) else f.type) for f in batch.schema])
+    batch = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, schema)], schema=schema)
+    if rest is None or not rest.num_rows:
+        return batch
+    if not batch.num_rows:
+        return rest
+    whole = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()
+    if len(whole) != 1:
+        raise ValueError(f"the rows of one block came back in {len(whole)} batches")
+    return whole[0]
+
+
 def _across(shared: DataFrame, sketches: DataFrame, sets: DataFrame, hashes: int, block: int, percent: int) -> DataFrame:
     """Links (u, v) between different components within a bucket, by signatures and then full sets, block by block: as
     many as join the components that each block pair can join, so never more than the rows compared."""
@@ -244,7 +258,7 @@ def _across(shared: DataFrame, sketches: DataFrame, sets: DataFrame, hashes: int
     def compare(batches):
         rest = None
         for batch in batches:
-            rows = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            rows = _joined_batches(rest, batch)
             yield from compared(rows, False)
             rest = tail(rows)
         if rest is not None:

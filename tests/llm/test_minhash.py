@@ -102,3 +102,15 @@ def test_bands_follow_the_limit():
         bands, rows = minhash.banding(percent)
         assert (1 - (percent / 100) ** rows) ** bands <= 1e-6 and bands * rows <= minhash.HASHES
         assert 0 < minhash.floor_of(percent, bands * rows) / (bands * rows) < percent / 100
+
+
+def test_blocks_of_more_than_2_gb_keep_every_row():
+    """Two sets of 1.1 GB: 32-bit offsets end at 2 GB. The zeros are shared, only the joined column takes memory."""
+    import numpy as np
+    import pyarrow as pa
+
+    size = 1_100_000_000
+    value = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, size], np.int32)), pa.py_buffer(np.zeros(size, np.uint8))])
+    batches = [pa.RecordBatch.from_arrays([pa.array([k]), value], ["node", "shingles"]) for k in range(2)]
+    rows = minhash._joined_batches(minhash._joined_batches(None, batches[0]), batches[1])
+    assert rows.column(0).to_pylist() == [0, 1] and [len(x.as_buffer()) for x in rows.column(1)] == [size, size]
