@@ -3,9 +3,10 @@
 Two first-order chains over characters, one of random strings and one of ordinary identifiers, are compared by the log
 ratio of their likelihoods. Labelled samples train them: values found by the base patterns in all texts, and the longer
 words outside them of about `sample` documents drawn by a hash of the id. A token is a secret if its ratio is above that of all but
-`false_alarm` of the sampled identifiers and above an even bet. Chains are tables of at most (64 + 1)^2 counts.
+`false_alarm` of the identifiers as long as a token in all texts and above an even bet. Chains are tables of at most (64 + 1)^2 counts.
 
-The tokens of every text are found in one pass and written to the shared folder; only the chains' counts are shuffled.
+The tokens of every text are found in one pass and written to the shared folder; only the chains' counts and the quantile's
+sketches, merged before the shuffle, are moved.
 
 Null counts as an empty text, without spans. Without any secret in the texts the random chain is uniform, without
 identifiers the other one is. Repeated rows get equal spans. Extra columns are ignored; an empty table gives an empty result.
@@ -29,6 +30,7 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}+"
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}+"
 WORD = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z_]{8,}+(?![A-Za-z0-9+/=-])"
+LONG_WORD = WORD.replace("{8,}", "{16,}")  # as long as a token
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
 SAMPLE = 2000
 FALSE_ALARM = 1e-4
@@ -36,7 +38,8 @@ PRIOR = 2.0  # added to each count
 
 
 def tokens(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Staged (doc_id, base, tokens, words): base spans with their value, other tokens, and words where the row is sampled."""
+    """Staged (doc_id, base, tokens, drawn, words): base spans with their value, other tokens, whether the row is sampled, and
+    its words outside base spans: all of them where it is, those as long as a token elsewhere."""
     total = docs.count()
     rows = docs.select("doc_id", text_of().alias("text"))
     lower = F.lower("text")
@@ -54,8 +57,8 @@ def tokens(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     base = F.concat(spans("assign", 0, lambda t: F.regexp_extract(t, ASSIGN, 1), 12), spans("access", 1, lambda t: t, 18), spans("hex", 2, lambda t: t, 16))
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1e6 * min(1.0, sample / max(total, 1))
     rest = F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|{HEX}", " ")
-    words = F.when(drawn, F.regexp_extract_all(rest, F.lit(WORD), F.lit(0)))
-    return stage(rows.select("doc_id", base.alias("base"), spans("other", 3, lambda t: t, 16).alias("tokens"), words.alias("words")), "tokens")
+    words = F.regexp_extract_all(rest, F.when(drawn, F.lit(WORD)).otherwise(F.lit(LONG_WORD)), F.lit(0))
+    return stage(rows.select("doc_id", base.alias("base"), spans("other", 3, lambda t: t, 16).alias("tokens"), drawn.alias("drawn"), words.alias("words")), "tokens")
 
 
 def _code(c: Column) -> Column:
@@ -88,7 +91,7 @@ def ratios(found: DataFrame) -> list[float]:
         return {r.step: r["count"] for r in steps.groupBy("step").count().collect()}
 
     random = counted(found.select(F.explode("base.value").alias("value")))
-    plain = counted(found.select(F.explode("words").alias("value")))
+    plain = counted(found.filter("drawn").select(F.explode("words").alias("value")))
     return [a - b for a, b in zip(_chain(random), _chain(plain))]
 
 
@@ -97,11 +100,16 @@ def ratio(value: Column, table: list[float]) -> Column:
     return F.aggregate(_steps(value), F.lit(0.0), lambda a, i: a + F.get(cells, i))
 
 
-def secrets(found: DataFrame, table: list[float], false_alarm: float = FALSE_ALARM) -> DataFrame:
-    """Per row: doc_id, base and further, arrays of (kind, start, end)."""
+def threshold(found: DataFrame, table: list[float], false_alarm: float = FALSE_ALARM) -> float:
+    """The ratio that all but `false_alarm` of the identifiers of all texts stay at or under, and at least an even bet."""
     seen = found.select(F.explode("words").alias("value")).filter(F.length("value") >= 16)
     edge = seen.agg(F.percentile_approx(ratio(F.col("value"), table), 1 - false_alarm, 100_000)).first()[0]
-    bar = max(edge if edge is not None else 0.0, math.log(1000.0))
+    return max(edge if edge is not None else 0.0, math.log(1000.0))
+
+
+def secrets(found: DataFrame, table: list[float], false_alarm: float = FALSE_ALARM) -> DataFrame:
+    """Per row: doc_id, base and further, arrays of (kind, start, end)."""
+    bar = threshold(found, table, false_alarm)
 
     def short(s):
         return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))

@@ -94,3 +94,22 @@ def test_random_token_is_selected(spark):
 
 def test_digest_of_no_spans(spark):
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_threshold_rests_on_all_documents(spark):
+    """Identifiers of documents that the chains do not learn from count for the bar as well; short words do not."""
+    import random
+
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    rows = [(k, "ordinary_identifiers_here configuration_settings shortword " + "".join(rng.choice(letters) for _ in range(20)), "en", "s") for k in range(400)]
+    rows.append((900, "token = a1B2c3D4e5F6g7H8i9J0", "en", "s"))
+    found = secrets.tokens(table(spark, rows), sample=40)
+    n = found.filter("drawn").count()
+    assert 0 < n < 200
+    words = {r.doc_id: r.words for r in found.collect()}
+    long = sorted(w for ws in words.values() for w in ws if len(w) >= 16)
+    assert long == sorted(w for i, t, *_ in rows[:-1] for w in t.split() if len(w) >= 16)
+    cells = secrets.ratios(found)
+    scores = spark.createDataFrame([(w,) for w in long], "w string").select(secrets.ratio(secrets.F.col("w"), cells).alias("r")).collect()
+    assert secrets.threshold(found, cells, 1e-9) == max(max(r.r for r in scores), secrets.math.log(1000.0))
