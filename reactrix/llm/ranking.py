@@ -35,6 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from reactrix.session import drop_stage, stage
 
@@ -64,30 +65,42 @@ def sketch(terms: list[bytes]) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(terms)).tobytes(), "big", signed=True)
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Non-negative numbers at the least of 1, 2, 4 or 8 bytes that holds them all, the width in the first byte."""
+    top = int(numbers.max()) if len(numbers) else 0
+    width = next(w for w in (1, 2, 4, 8) if top < 1 << (8 * w - (w == 8)))
+    return bytes([width]) + numbers.astype(f"<u{width}").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
 def term_vectors(docs: DataFrame) -> DataFrame:
-    """Staged (doc_id, n, geo, terms, tfs) of the rows that hold a term."""
+    """Staged (doc_id, n, geo, terms, tfs) of the rows that hold a term; terms are joined by spaces, counts packed."""
     def work(batches):
         for batch in slices(batches):
-            rows = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            keep, rows = [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
                 found = terms_of(text)
                 if found:
                     counts = Counter(found)
-                    rows.append((i, len(found), sketch(list(counts)), list(counts), list(counts.values())))
-            columns = list(zip(*rows)) if rows else [()] * 5
+                    keep.append(k)
+                    rows.append((len(found), sketch(list(counts)), b" ".join(counts).decode(), packed(np.fromiter(counts.values(), np.int64, len(counts)))))
+            columns = list(zip(*rows)) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([
-                pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()),
-                pa.array([[t.decode() for t in r] for r in columns[3]], pa.list_(pa.string())), pa.array(columns[4], pa.list_(pa.int64()))], names)
+                batch.column(0).take(pa.array(keep, pa.int64())), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()),
+                pa.array(columns[2], pa.string()), pa.array(columns[3], pa.binary())], names)
 
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n", T.LongType()), T.StructField("geo", T.LongType()),
-                           T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("tfs", T.ArrayType(T.LongType()))])
+                           T.StructField("terms", T.StringType()), T.StructField("tfs", T.BinaryType())])
     names = schema.names
     return stage(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(work, schema), "term-vectors")
 
 
 class Index:
-    """cells: staged (cell, doc_ids, sizes, terms, impacts, summary_terms, summary) with the documents' vectors one after
-    another; df: staged (term, df); n: documents."""
+    """cells: staged (cell, doc_ids, terms, summary, sizes, places, impacts): the terms of a cell once, joined by spaces, their
+    greatest impacts, and its documents' vectors one after another as places among those terms; df: staged (term, df); n: documents."""
 
     def __init__(self, cells: DataFrame, df: DataFrame, n: int):
         self.cells, self.df, self.n = cells, df, n
@@ -101,7 +114,7 @@ def build_index(docs: DataFrame, cell: int = CELL) -> Index:
     vectors = term_vectors(docs)
     totals = vectors.agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("l")).first()
     n_docs, n_terms = totals["n"], totals["l"] or 1
-    df = stage(vectors.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "document-counts")
+    df = stage(vectors.select(F.explode(F.split("terms", " ")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "document-counts")
     m = F.lit(50) + F.expr(f"(50L * n * {n_docs}L) div {n_terms}L")
     ready = vectors.select("doc_id", "geo", "terms", "tfs", m.alias("m"))
     laid = ready.repartitionByRange(partitions(docs.sparkSession), "geo", "doc_id", F.xxhash64("terms")).sortWithinPartitions("geo", "doc_id")
@@ -110,36 +123,30 @@ def build_index(docs: DataFrame, cell: int = CELL) -> Index:
         number, held, size = itertools.count(TaskContext.get().partitionId() << 40), [], 0
         for batch in slices(batches, cell):
             for row in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                held.append(row)
-                size += len(row[1])
+                held.append((row[0], row[1].split(" "), unpacked(row[2]), row[3]))
+                size += len(held[-1][1])
                 if len(held) >= cell or size >= CELL_TERMS:
-                    yield packed(next(number), held)
+                    yield one_cell(next(number), held)
                     held, size = [], 0
         if held:
-            yield packed(next(number), held)
+            yield one_cell(next(number), held)
 
-    def packed(number, rows):
-        terms = list(itertools.chain.from_iterable(r[1] for r in rows))
-        tf = np.fromiter(itertools.chain.from_iterable(r[2] for r in rows), np.int64, len(terms))
-        sizes = [len(r[1]) for r in rows]
+    def one_cell(number, rows):
+        sizes = np.array([len(r[1]) for r in rows], np.int64)
+        tf = np.concatenate([r[2] for r in rows])
         impact = (10**9 * tf) // (1000 * tf + 20 * np.repeat(np.array([r[3] for r in rows], np.int64), sizes))
-        best = {}
-        for t, x in zip(terms, impact.tolist()):
-            if x > best.get(t, -1):
-                best[t] = x
+        known = {}
+        places = np.array([known.setdefault(t, len(known)) for r in rows for t in r[1]], np.int64)
+        summary = np.zeros(len(known), np.int64)
+        np.maximum.at(summary, places, impact)
         return pa.RecordBatch.from_arrays([
-            pa.array([number], pa.int64()), pa.array([[r[0] for r in rows]], pa.list_(id_type)), pa.array([sizes], pa.list_(pa.int32())),
-            pa.array([terms], pa.list_(pa.string())), pa.array([impact.astype(np.int32)], pa.list_(pa.int32())),
-            pa.array([list(best)], pa.list_(pa.string())), pa.array([list(best.values())], pa.list_(pa.int32()))], names)
+            pa.array([number], pa.int64()), pa.array([[r[0] for r in rows]], pa.list_(id_type)), pa.array([" ".join(known)], pa.string()),
+            *(pa.array([packed(x)], pa.binary()) for x in (summary, sizes, places, impact))], names)
 
     schema = T.StructType([
-        T.StructField("cell", T.LongType()), T.StructField("doc_ids", T.ArrayType(vectors.schema["doc_id"].dataType)), T.StructField("sizes", T.ArrayType(T.IntegerType())),
-        T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("impacts", T.ArrayType(T.IntegerType())),
-        T.StructField("summary_terms", T.ArrayType(T.StringType())), T.StructField("summary", T.ArrayType(T.IntegerType()))])
-    names = schema.names
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    id_type = to_arrow_type(vectors.schema["doc_id"].dataType)
+        T.StructField("cell", T.LongType()), T.StructField("doc_ids", T.ArrayType(vectors.schema["doc_id"].dataType)), T.StructField("terms", T.StringType()),
+        *(T.StructField(c, T.BinaryType()) for c in ("summary", "sizes", "places", "impacts"))])
+    names, id_type = schema.names, to_arrow_type(vectors.schema["doc_id"].dataType)
     cells = stage(laid.select("doc_id", "terms", "tfs", "m").mapInArrow(work, schema), "cells")
     drop_stage(vectors)
     return Index(cells, df, n_docs)
@@ -160,12 +167,10 @@ class _Queries:
         self.query = np.array([q for q, _ in flat], np.int64)
         self.weight = np.array([w for _, w in flat], np.float64)
 
-    def matched(self, terms: list[str], impacts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position, place, impact) of the terms that some query holds."""
+    def places_of(self, terms: str) -> np.ndarray:
+        """The place of each of a cell's terms among the queries' terms, -1 where no query holds it."""
         get = self.place.get
-        hits = [(k, p) for k, p in enumerate(map(get, terms)) if p is not None]
-        at = np.array([k for k, _ in hits], np.int64)
-        return at, np.array([p for _, p in hits], np.int64), np.array(impacts, np.float64)[at] if hits else np.zeros(0)
+        return np.array([get(t, -1) for t in terms.split(" ")], np.int64)
 
     def _spread(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each matched term its queries: (index of the match, position in query/weight)."""
@@ -174,19 +179,22 @@ class _Queries:
         inside = np.arange(len(index)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         return index, self.start[place][index] + inside
 
-    def bounds(self, terms, summary) -> np.ndarray:
-        _, place, impact = self.matched(terms, summary)
-        index, at = self._spread(place)
-        return np.bincount(self.query[at], self.weight[at] * impact[index], self.n)
-
-    def scores(self, owner: np.ndarray, rows: int, terms, impacts, alive: np.ndarray) -> np.ndarray:
-        """(rows, queries) exact scores of the queries alive."""
-        where, place, impact = self.matched(terms, impacts)
-        index, at = self._spread(place)
+    def bounds(self, place: np.ndarray, summary: np.ndarray) -> np.ndarray:
+        """Per query the sum of weight times summary over a cell's terms (their `places_of`)."""
+        held = place >= 0
+        index, at = self._spread(place[held])
+        return np.bincount(self.query[at], self.weight[at] * summary[held][index], self.n)
+
+    def scores(self, place: np.ndarray, sizes: np.ndarray, places: np.ndarray, impacts: np.ndarray, alive: np.ndarray) -> np.ndarray:
+        """(documents, queries) exact scores of the queries alive."""
+        found = place[places]
+        held = found >= 0
+        owner = np.repeat(np.arange(len(sizes)), sizes)[held]
+        index, at = self._spread(found[held])
         use = alive[self.query[at]]
         index, at = index[use], at[use]
-        key = owner[where[index]] * self.n + self.query[at]
-        return np.bincount(key, self.weight[at] * impact[index], rows * self.n).reshape(rows, self.n)
+        key = owner[index] * self.n + self.query[at]
+        return np.bincount(key, self.weight[at] * impacts[held][index], len(sizes) * self.n).reshape(len(sizes), self.n)
 
 
 class _Best:
@@ -214,23 +222,21 @@ def _scored(cells: DataFrame, block: list, k: int, floors: np.ndarray | None, al
     def work(batches):
         known, best = _Queries(block), _Best(len(block), k)
         for batch in slices(batches, 16):
-            for r in range(batch.num_rows):
+            for cell, ids, terms, *numbers in zip(*(batch.column(c).to_pylist() for c in range(7))):
+                place = known.places_of(terms)
+                summary, sizes, places, impacts = map(unpacked, numbers)
                 if alone is None:
-                    bound = known.bounds(batch.column(5)[r].as_py(), batch.column(6)[r].as_py())
+                    bound = known.bounds(place, summary)
                     alive = (bound > 0) & (bound >= np.maximum(floors, best.floor))
                 else:
                     alive = np.zeros(len(block), bool)
-                    alive[alone.get(batch.column(0)[r].as_py(), [])] = True
+                    alive[alone.get(cell, [])] = True
                 if alive.any():
-                    sizes = batch.column(2)[r].as_py()
-                    owner = np.repeat(np.arange(len(sizes)), sizes)
-                    best.add(batch.column(1)[r].as_py(), known.scores(owner, len(sizes), batch.column(3)[r].as_py(), batch.column(4)[r].as_py(), alive))
+                    best.add(ids, known.scores(place, sizes, places, impacts, alive))
         rows = [(q, int(-s), None if missing else i) for q, found in enumerate(best.rows) for s, missing, i in found]
         columns = list(zip(*rows)) if rows else [()] * 3
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], arrow_id)], ["q", "score", "doc_id"])
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
     arrow_id = to_arrow_type(id_type)
     return cells.mapInArrow(work, T.StructType([T.StructField("q", T.IntegerType()), T.StructField("score", T.LongType()), T.StructField("doc_id", id_type)]))
 
@@ -241,9 +247,8 @@ def _proposed(cells: DataFrame, block: list, seeds: int) -> dict[int, list[int]]
         known, rows = _Queries(block), []
         best = [[] for _ in block]
         for batch in slices(batches, 16):
-            for r in range(batch.num_rows):
-                bound = known.bounds(batch.column(1)[r].as_py(), batch.column(2)[r].as_py())
-                cell = batch.column(0)[r].as_py()
+            for cell, terms, summary in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                bound = known.bounds(known.places_of(terms), unpacked(summary))
                 for q in np.flatnonzero(bound > 0).tolist():
                     if len(best[q]) < seeds or bound[q] > best[q][-1][0]:
                         best[q] = sorted([*best[q], (bound[q], cell)], reverse=True)[:seeds]
@@ -251,7 +256,7 @@ def _proposed(cells: DataFrame, block: list, seeds: int) -> dict[int, list[int]]
         columns = list(zip(*rows)) if rows else [()] * 3
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.int64())], ["q", "bound", "cell"])
 
-    found = cells.select("cell", "summary_terms", "summary").mapInArrow(work, "q int, bound double, cell long")
+    found = cells.select("cell", "terms", "summary").mapInArrow(work, "q int, bound double, cell long")
     top = found.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("bound"), "cell"))).filter(F.col("place") <= seeds)
     out = {}
     for r in top.select("q", "cell").collect():  # queries of the block x seeds

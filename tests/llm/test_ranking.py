@@ -73,11 +73,9 @@ def test_summaries_bound_every_document(spark):
     assert sum(len(c.doc_ids) for c in cells) == sum(bool(re.findall(TERM, lowered(t))) for _, t, *_ in docs)
     assert max(len(c.doc_ids) for c in cells) <= 8
     for c in cells:
-        summary, at = dict(zip(c.summary_terms, c.summary)), 0
-        for size in c.sizes:
-            assert all(summary[t] >= x for t, x in zip(c.terms[at:at + size], c.impacts[at:at + size]))
-            at += size
-        assert at == len(c.terms)
+        summary, sizes, places, impacts = map(ranking.unpacked, (c.summary, c.sizes, c.places, c.impacts))
+        assert len(sizes) == len(c.doc_ids) and sizes.sum() == len(places) == len(impacts)
+        assert (summary[places] >= impacts).all() and len(c.terms.split(" ")) == len(summary)
 
 
 def test_cells_end_early_on_long_documents(spark, monkeypatch):
@@ -87,14 +85,20 @@ def test_cells_end_early_on_long_documents(spark, monkeypatch):
     assert searched(spark, docs, items, cell=64, k=6) == plain(docs, items, 6)
 
 
-def test_bounds_skip_cells():
-    """The work that bounds save: queries are scored only where their bound reaches the floor."""
+def test_bounds_and_scores():
     known = ranking._Queries([[("a", 10), ("b", 20)], [("b", 5)], [("z", 7)]])
-    assert known.bounds(["a", "b", "q"], [3, 4, 9]).tolist() == [110.0, 20.0, 0.0]
-    scores = known.scores(np.array([0, 0, 1]), 2, ["a", "b", "a"], [1, 2, 3], np.array([True, False, True]))
+    place = known.places_of("a b q")
+    assert known.bounds(place, np.array([3, 4, 9])).tolist() == [110.0, 20.0, 0.0]
+    scores = known.scores(place, np.array([2, 1]), np.array([0, 1, 0]), np.array([1, 2, 3]), np.array([True, False, True]))
     assert scores.tolist() == [[50.0, 0.0, 0.0], [30.0, 0.0, 0.0]]
 
 
+def test_packing():
+    for top in (0, 255, 256, 65_536, 2**40):
+        assert ranking.unpacked(ranking.packed(np.array([0, top]))).tolist() == [0, top]
+    assert ranking.unpacked(ranking.packed(np.array([], np.int64))).tolist() == []
+
+
 def test_empty_tables(spark):
     assert searched(spark, [], [(1, "a b")]) == []
     assert searched(spark, [(1, None, "en", "s"), (2, "...", "en", "s")], [(1, "a b")]) == []
