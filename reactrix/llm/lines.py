@@ -39,9 +39,10 @@ def later_occurrences(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return later.groupBy("line_doc", "line_digest").agg(F.array_sort(F.collect_set("start")).alias("starts"))
 
 
-def drop_repeated_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, width: int = WIDTH, counts: bool = True) -> DataFrame:
     """Every row and column of `docs` with the text without repeated lines, n_chars to match where there is one, and
-    the counts line_total and line_removed."""
+    the counts line_total and line_removed, which take the place of input columns of these names. Without `counts` exactly
+    the input's columns, such ones unchanged."""
     later = later_occurrences(docs, width)
     rows = docs.select(F.struct("*").alias("row"), F.md5("text").alias("digest"))
     joined = rows.join(later, F.col("row.doc_id").eqNullSafe(F.col("line_doc")) & (F.col("digest") == F.col("line_digest")), "left")
@@ -58,7 +59,11 @@ def drop_repeated_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     new = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("cut")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("changed"), F.length("cut").cast("long")).otherwise(F.col("row.n_chars"))
-    return cut.select(*replace_columns(docs, new), *(F.col(c) for c in ("line_total", "line_removed") if c not in docs.columns))
+    if not counts:
+        return cut.select(*replace_columns(docs, new))
+    made = ("line_total", "line_removed")
+    kept = docs.select(*(f"`{c}`" for c in docs.columns if c not in made))
+    return cut.select(*replace_columns(kept, new), *made)
 
 
 SQL = """

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 FIELDS = [("doc_id", T.LongType()), ("text", T.StringType()), ("lang", T.StringType()), ("source", T.StringType()), ("n_chars", T.LongType())]
 #: Names that the operators use inside.
-CLASHING = ("size", "rate", "row", "digest", "keys", "node", "bucket", "length", "start", "block", "found", "base", "score", "weight", "covered", "component")
+CLASHING = ("size", "rate", "row", "digest", "keys", "node", "bucket", "length", "start", "block", "found", "base", "score", "weight", "covered", "component", "line_total", "line_removed", "copies", "copy_id", "ids", "fp", "cell", "terms")
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 SPACE = r"[^\x20\x09-\x0D]+"
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from reactrix.llm import exact, lines, mixing
 
-from .brute import SPACE, awkward, line_dedup, lowered, table
+from .brute import SPACE, awkward, line_dedup, lowered, prose, table
 
 
 @pytest.mark.parametrize("keep", ["smallest", "largest"])
@@ -50,7 +50,8 @@ def test_line_windows(spark):
     rows = awkward()
     docs = table(spark, rows)
     got = lines.drop_repeated_lines(docs)
-    assert got.columns == docs.columns + ["line_total", "line_removed"]
+    made = ["line_total", "line_removed"]
+    assert got.columns == [c for c in docs.columns if c not in made] + made
     want = line_dedup(rows)
     out = got.collect()
     assert len(out) == len(rows)
@@ -103,3 +104,16 @@ def test_mixed_rows_follow_the_plan(spark):
     assert mixed.columns == docs.columns
     times = {r.doc_id: r.n for r in mixed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert all(times.get(r.doc_id, 0) == r.copies for r in mixing.mix_plan(docs).collect())
+
+
+def test_counts_replace_clashing_columns(spark):
+    """An input column named like a count: the operator gives the count, the pipeline's stage keeps the column."""
+    import corpus_pipeline
+
+    passage = "\n".join(prose(60 + k, 8) for k in range(4))
+    docs = table(spark, [(1, passage, "en", "s"), (2, f"intro\n{passage}", "en", "s"), (3, None, "en", "s")], extra=())
+    docs = docs.selectExpr("*", "-7L AS line_total", "-8L AS line_removed")
+    got = {r.doc_id: (r.line_total, r.line_removed) for r in lines.drop_repeated_lines(docs).collect()}
+    assert got == {1: (4, 0), 2: (5, 4), 3: (0, 0)}
+    stage = corpus_pipeline.line_dedup(spark, docs, "")
+    assert stage.columns == docs.columns and {(r.line_total, r.line_removed) for r in stage.collect()} == {(-7, -8)}
