@@ -1,7 +1,8 @@
 """Toxicity by a weighted lexicon.
 
-Texts are folded first: lower case, accents off, look-alike letters of other scripts and digits or signs that stand for
-letters mapped to one form each, everything else to spaces. The lexicon, whole words and word beginnings with log-odds
+Texts are folded first: lower case, accents off, look-alike letters of other scripts and digits that stand for letters
+mapped to one form each. Signs that can stand for a letter do so only between letters; at a word's edge they are
+punctuation, and become spaces like everything else. The lexicon, whole words and word beginnings with log-odds
 weights, is learned from a bounded sample of labelled rows and matched on whole texts by an Aho-Corasick automaton;
 matches inside exception phrases do not count. A logistic curve over the total weight and the weight by length, fitted
 on the same sample, gives the score.
@@ -10,6 +11,9 @@ A feature enters the lexicon if its share among toxic documents is significantly
 above twice the log of the number of features) and it follows at least three different words there, so that texts
 copied many times do not fill it.
 
+The lexicon holds every feature that passes; the bound on what is learned from is `max_rows` labelled rows, nothing else.
+Texts of any length are matched whole, in time that grows with their length (exception phrases are looked up by place).
+
 Null and empty texts score as a text without matches. Labels of null or for missing documents are not used; of repeated
 labels the highest counts. Without labelled rows all scores are the neutral 0. Repeated rows get equal scores. Extra
 columns are ignored; an empty table gives an empty result.
@@ -17,6 +21,9 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import re
 import unicodedata
 from dataclasses import dataclass, field
 
@@ -31,16 +38,17 @@ from reactrix.session import stage
 from .common import crc32_text, documents, query, slices
 
 MAX_ROWS = 20_000
-MAX_TERMS = 5_000
 PREFIXES = (4, 5, 6, 7)
 BASE = 200.0  # words; weights of longer texts shrink in proportion in the second feature
 
 #: Characters read as the letter they look like.
 LOOK_ALIKE = {
-    "0": "o", "1": "l", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "l", "|": "l", "i": "l",
+    "0": "o", "1": "l", "3": "e", "4": "a", "5": "s", "7": "t", "i": "l",
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "l", "ј": "j", "ѕ": "s", "к": "k", "м": "m", "т": "t", "н": "h", "в": "b",
     "α": "a", "ο": "o", "ν": "v", "ρ": "p", "τ": "t", "ι": "l", "κ": "k", "ε": "e", "υ": "u", "η": "n", "χ": "x", "ß": "s", "ø": "o", "ł": "l", "đ": "d",
 }
+#: Signs read as a letter where letters stand on both sides.
+SIGNS = {"@": "a", "$": "s", "!": "l", "|": "l"}
 #: Harmless phrases that hold words which are insults elsewhere.
 EXCEPTIONS = ("trash can", "trash bin", "class clown", "clown fish", "idiot proof", "stupid simple")
 
@@ -51,13 +59,21 @@ class _Fold(dict):
     def __missing__(self, code: int) -> str:
         c = unicodedata.normalize("NFKD", chr(code)).lower()
         c = "".join(x for x in c if not unicodedata.combining(x))
-        c = "".join(LOOK_ALIKE.get(x, x if x.isalpha() else " ") for x in c)
+        c = "".join(LOOK_ALIKE.get(x, x if x.isalpha() or x in SIGNS else " ") for x in c)
         self[code] = c
         return c
 
 
+_SIGN = re.compile("[" + re.escape("".join(SIGNS)) + "]")
+_INNER = re.compile(rf"(?<=[^\W_]){_SIGN.pattern}+(?=[^\W_])")
+_AS_LETTERS = str.maketrans(SIGNS)
+
+
 def fold(text: str, table: _Fold) -> str:
-    return text.translate(table)
+    folded = text.translate(table)
+    if _SIGN.search(folded) is None:
+        return folded
+    return _SIGN.sub(" ", _INNER.sub(lambda m: m[0].translate(_AS_LETTERS), folded))
 
 
 @dataclass
@@ -93,7 +109,14 @@ def features(text: str | None, automaton, table: _Fold) -> tuple[float, float]:
             spared.append((start, end))
         elif weight > best.get(start, 0.0):
             best[start] = weight
-    total = sum(w for s, w in best.items() if not any(a <= s < b for a, b in spared))
+    spared.sort()
+    reach = list(itertools.accumulate((b for _, b in spared), max))
+
+    def is_spared(place: int) -> bool:
+        k = bisect.bisect_right(spared, (place, float('inf'))) - 1
+        return k >= 0 and place < reach[k]
+
+    total = sum(w for s, w in best.items() if not is_spared(s))
     return float(np.log1p(total)), float(np.log1p(total * BASE / max(len(words), BASE)))
 
 
@@ -121,7 +144,7 @@ def _counts(sample: DataFrame) -> DataFrame:
     return by_place.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.sum(F.expr("if(toxic > 0, 1, 0)")).alias("places"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS, exceptions=EXCEPTIONS) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, exceptions=EXCEPTIONS) -> Lexicon:
     """Learns from at most `max_rows` labelled rows (lowest hashes of the id) of labels (doc_id, toxic)."""
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select(F.col("doc_id").alias("labelled"), "toxic")
@@ -137,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_terms:
     likelihood = 2 * (F.col("toxic") * F.log(F.col("toxic") / (n * share)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (n * (1 - share)))).otherwise(0.0))
     odds = F.log((F.col("toxic") + 0.5) / (bad + 1)) - F.log((F.col("clean") + 0.5) / (good + 1))
     strong = counted.filter("toxic >= 3 AND places >= 3").select("term", odds.alias("weight"), likelihood.alias("g"))
-    rows = strong.filter((F.col("weight") > 1) & (F.col("g") > float(bar))).orderBy(F.desc("g"), "term").limit(max_terms).collect()
+    rows = strong.filter((F.col("weight") > 1) & (F.col("g") > float(bar))).collect()  # at most a third of the sample's distinct features
     found = {r.term: r.weight for r in rows}
     terms = {}
     for term in sorted(found, key=len):  # a longer form stays only if it says more than its beginning

@@ -120,3 +120,52 @@ def test_awkward_toxicity(spark, lexicon):
     blank = toxicity.fit(table(spark, awkward()), empty)
     assert {r.score for r in toxicity.score(table(spark, awkward()), blank).collect()} == {0.0}
     assert toxicity.score(table(spark, []), lexicon).count() == 0
+
+
+def test_spans_where_lower_case_is_longer(spark, model):
+    """A capital I with dot becomes two code points, which cuts its word in two."""
+    first, second = sentence("aa", 5, 40), sentence("bb", 6, 60)
+    text = f"\u0130ba {first} \u0130 {second}"
+    r = language.identify(table(spark, [(1, text, None, None)]), model).collect()[0]
+    assert [s.lang for s in r.spans] == ["aa", "bb"]
+    assert r.spans[0].start == 0 and r.spans[0].end == r.spans[1].start and r.spans[1].end == len(text)
+    assert abs(r.spans[1].start - text.index(second)) <= 2
+
+
+def plain_weights(text, terms, exceptions):
+    """Total weight by trying every term and phrase at every place."""
+    table = toxicity._Fold()
+    words = toxicity.fold(text, table).split()
+    whole = f" {' '.join(words)} " if words else ""
+    spared = set()
+    for phrase in exceptions:
+        p = f" {' '.join(toxicity.fold(phrase, table).split())} "
+        for k in range(len(whole)):
+            if whole.startswith(p, k):
+                spared |= set(range(k, k + len(p) - 1))
+    best = [max([w for t, w in terms.items() if whole.startswith(t, k)], default=0.0) for k in range(len(whole))]
+    return sum(w for k, w in enumerate(best) if k not in spared), len(words)
+
+
+def test_matcher_against_every_place():
+    rng = random.Random(9)
+    terms = {" trash ": 1.5, " tras": 1.0, " vile": 2.0, " vilefolk ": 2.5, " clown ": 0.7, " ldlot": 3.0, " can ": 0.2}
+    pieces = ["trash", "can", "trash can", "class clown", "clown", "VILEfolk!", "v!lefolk", "vile", "idiot proof", "1d10t", "fish", "a$$", "(trash)", "clown fish", "\u0441lown"]
+    lexicon = toxicity.Lexicon(terms)
+    automaton = lexicon.automaton()
+    for k in range(300):
+        text = rng.choice([" ", ", ", "! "]).join(rng.choice(pieces) for _ in range(rng.choice([0, 1, 3, 12, 400 if k < 3 else 5])))
+        total, words = plain_weights(text, terms, lexicon.exceptions)
+        got = toxicity.features(text, automaton, toxicity._Fold())
+        assert np.allclose(got, [np.log1p(total), np.log1p(total * toxicity.BASE / max(words, toxicity.BASE))])
+
+
+def test_signs_are_letters_only_between_letters():
+    lexicon = toxicity.Lexicon({" vlleflk ": 1.0, " vllefolk ": 1.0, " ass ": 1.0})
+    automaton = lexicon.automaton()
+
+    def weight(text):
+        return toxicity.features(text, automaton, toxicity._Fold())[0]
+
+    assert weight("you vilefolk here") == weight("you vilefolk!") == weight("|vilefolk| there") == weight("you v!lefolk") == weight("$vilefolk$.") > 0
+    assert weight("a$$ here") == 0.0 and weight("a$s here") > 0
