@@ -5,9 +5,12 @@ is the mean log probability of its character n-grams; a Viterbi path over the wo
 labels spans. A text's language is the one with most letters on the path.
 
 The model is fitted on a bounded sample of labelled rows: about `per_language` documents of each language, drawn by a
-hash of the id (all of them where there are fewer). A constant path is optimal where no other language gains more than
+hash of the id (all of them where there are fewer); every n-gram of the sample counts. A constant path is optimal where no other language gains more than
 the penalty on any stretch of words; only the other texts need the full recursion.
 
+Whole texts of any length are labelled. Ties between languages go to the more frequent one, then by name; words are those of
+the lower-cased text, and spans are given in places of the text itself also where lower case is longer.
+
 Null texts and texts without a letter are 'und' with score 0. A null language is never learned from. Texts in scripts
 that no learned language uses get the most frequent language with its share as score. Without any labelled row every
 text is 'und'. Repeated rows get equal results. Extra columns are kept by `keep_identified`; an empty table gives an
@@ -17,6 +20,7 @@ empty result.
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -30,7 +34,6 @@ from pyspark.sql import types as T
 from .common import crc32_text, documents, query, slices
 
 PER_LANGUAGE = 2000
-MAX_GRAMS = 60_000
 SWITCH = 20.0  # nats; a few words of another language outweigh it
 TEXTS_AT_ONCE = 250
 WORD_CACHE = 150_000
@@ -73,7 +76,7 @@ class Model:
     allowed: dict[str, np.ndarray]  # script -> languages written in it
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, max_grams: int = MAX_GRAMS) -> Model:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Learns from the rows of (doc_id, text, lang) given; the caller leaves out what must not be learned from."""
     rows = docs.select("doc_id", "text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL")
     counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -107,7 +110,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, max_grams: int = MAX_
     scripts = counted.filter(F.length("gram") > 3).collect()
     by_gram = counted.filter(F.length("gram") <= 3).groupBy("gram").agg(
         F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    kept = by_gram.orderBy(F.desc("all"), "gram").limit(max_grams).collect()
+    kept = by_gram.collect()  # the grams of the bounded sample
     index = {name: k for k, name in enumerate(languages)}
     table = np.zeros((len(kept) + 1, len(languages)))
     for k, r in enumerate(kept):
@@ -232,9 +235,13 @@ def spans_of(text: str, lang: str, path: np.ndarray, languages: list[str]) -> li
     """Stretches of one language; a new one begins with its first word."""
     if lang == "und":
         return []
-    starts = [m.start() for m in LETTERS.finditer(text)] if len(path) and (path != path[0]).any() else []
-    if not len(path) or len(starts) != len(path):  # one language, or lower case has changed what counts as a word
+    if not len(path) or not (path != path[0]).any():
         return [(0, len(text), lang)]
+    lower = text.lower()
+    starts = [m.start() for m in LETTERS.finditer(lower)]
+    if len(lower) != len(text):  # some letters have longer lower-case forms: back to the places of the text
+        ends = list(itertools.accumulate(len(c.lower()) for c in text))
+        starts = [bisect.bisect_right(ends, s) for s in starts]
     cuts = (np.flatnonzero(path[1:] != path[:-1]) + 1).tolist()
     edges = [0, *(starts[c] for c in cuts), len(text)]
     return [(a, b, languages[path[c]]) for a, b, c in zip(edges, edges[1:], [0, *cuts])]
