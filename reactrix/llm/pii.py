@@ -2,20 +2,29 @@
 
 High-recall generators (plain and obfuscated e-mail addresses, dotted and colon-separated addresses, digit runs, phone
 shapes) propose overlapping candidates. Those that pass the checks of their kind under the base patterns are always
-redacted. The trees learn from all candidates which formats and surroundings hold valid data; scores are calibrated on
-held-out documents, and per kind the lowest score with the wanted precision there is the threshold for further spans.
+redacted. The trees of each kind decide about the rest: they learn to tell base matches from look-alikes of the same kind (handles,
+version numbers, dates, plain candidates that fail their check) by format and surroundings. What makes a base match one
+(the sign of its pattern, checksum, number ranges) is hidden from them, so that they judge spans written otherwise;
+of those, card numbers still have to pass the checksum.
+
+Scores are calibrated on held-out documents. Per kind the threshold is the lowest score at which the precision reaches the
+wanted one; the precision counts `PRIOR` pseudo-candidates at the model's own probability beside the held-out ones, so
+evidence grows smoothly and no table size switches anything.
 
 The candidates of every text are found in one pass and written to the shared folder; the fit reads counts of category
 combinations (bounded by the product of the category sizes), and the trees run as conditions on the stored arrays, so
 nothing is shuffled but those counts.
 
-Null counts as an empty text, without spans. Without any failing or any valid candidate only base spans are given.
-Repeated rows get equal spans. Extra columns are ignored; an empty table gives an empty result.
+Null counts as an empty text, without spans. A kind without any base match gives no further spans.
+Candidates of one kind may tie in score and are then chosen alike; a further span never overlaps a base span of its kind.
+Repeated rows get equal spans. Texts of any length are searched whole; patterns are possessive where that cannot change a
+match, but a run of n address characters without an end to the address costs up to n * n / 2 steps where the text holds
+an @. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -29,97 +38,107 @@ from .spans import apart_from, digits, kind_counts, listed, luhn, with_matches
 
 KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.95
-LEAST_PROOF = 20  # held-out candidates that a threshold has to rest on
+ROUNDS = 20  # trees of each kind
+PRIOR = 20.0  # pseudo-candidates at the model's own probability
+BASE, OTHER, LOOK_ALIKE = "base", "other", "look-alike"
 
-#: Generators: kind, whether it is the base pattern, pattern (possessive where that cannot change a match), texts it can match.
+#: Generators: kind, role, pattern (possessive where that cannot change a match), texts it can match. Base patterns give
+#: base matches and, where the check fails, look-alikes; the others give spans to decide about.
 GENERATORS = (
-    (0, True, r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", ("@",)),
-    (1, True, r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", (".",)),
-    (2, True, r"[0-9](?:[\x20-]?[0-9])++", ()),
-    (3, True, r"\+[0-9][\x20().0-9-]+[0-9]", ("+",)),
-    (0, False, r"[A-Za-z0-9._%+-]++ ?[(\[]at[)\]] ?[A-Za-z0-9-]++(?: ?(?:\.|[(\[]dot[)\]]) ?[A-Za-z0-9-]++)++", ("(at)", "[at]")),
-    (1, False, r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:])", (":",)),
-    (2, False, r"(?<![0-9])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9])", (".", "/", "_")),
-    (3, False, r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])", ()),
+    (0, BASE, r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", ("@",)),
+    (1, BASE, r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", (".",)),
+    (2, BASE, r"[0-9](?:[\x20-]?[0-9])++", ()),
+    (3, BASE, r"\+[0-9][\x20().0-9-]+[0-9]", ("+",)),
+    (0, OTHER, r"[A-Za-z0-9._%+-]++ ?[(\[]at[)\]] ?[A-Za-z0-9-]++(?: ?(?:\.|[(\[]dot[)\]]) ?[A-Za-z0-9-]++)++", ("(at)", "[at]")),
+    (1, OTHER, r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:])", (":",)),
+    (2, OTHER, r"(?<![0-9])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9])", (".", "/", "_")),
+    (3, OTHER, r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])", ()),
+    (0, LOOK_ALIKE, r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?![A-Za-z0-9-]|\.[A-Za-z0-9-])", ("@",)),
+    (1, LOOK_ALIKE, r"(?<![0-9.])[0-9]++\.[0-9]++(?:\.[0-9]++)?(?![0-9]|\.[0-9])", (".",)),
+    (3, LOOK_ALIKE, r"(?<![0-9./-])[0-9]{1,4}([./-])[0-9]{1,2}\1[0-9]{2,4}(?![0-9./-])", ()),
 )
-FEATURES = ("kind", "plain", "digits", "signs", "left", "right", "word", "shape")
+FEATURES = ("digits", "signs", "left", "right", "word", "shape")
 
 
 def _char_class(c: Column) -> Column:
     return (F.when(c == "", 0).when(c.rlike(r"^\p{L}$"), 1).when(c.rlike("^[0-9]$"), 2).when(c.rlike(r"^\s$"), 3).otherwise(4))
 
 
-def _candidate(kind: int, plain: bool, m: Column) -> Column:
+def _candidate(kind: int, role: str, m: Column) -> Column:
     text, number = m["text"], digits(m["text"])
     n = F.length(number)
     octets = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])(?:\.|$)){4}$"
-    valid = {0: text.rlike(r"[.)\] ][A-Za-z]{2,}$") if plain else F.lit(True),
-             1: text.rlike(octets) if plain else F.lit(True),
-             2: F.when(n.between(12, 19), luhn(number)).otherwise(False),
-             3: n.between(9, 15)}[kind]
-    base = F.lit(False) if not plain else F.lit(True) if kind == 0 else valid
-    shape = {0: text.rlike(r"^[A-Za-z0-9]"), 1: ~text.rlike(r"[0-9]{4}"), 2: text.rlike("^[3-6]"), 3: text.rlike(r"\(")}[kind]
-    word = F.lower(m["left"]).rlike("mail|phone|tel|call|fax|card|visa|account|addr|contact|host|ip")
-    number_of_signs = F.length(F.regexp_replace(text, "[A-Za-z0-9]", ""))
+    checksum = F.when(n.between(12, 19), luhn(number)).otherwise(False)
+    base = {0: F.lit(True), 1: text.rlike(octets), 2: checksum, 3: n.between(9, 15)}[kind] if role == BASE else F.lit(False)
+    bare = F.regexp_replace(text, r"^\+[0-9]{1,2}", "") if kind == 3 else text  # without the sign and country code of the base pattern
+    count = F.length(digits(bare))
+    shape = {0: text.rlike(r"^[A-Za-z0-9]"), 1: ~text.rlike(r"[0-9]{5}"), 2: text.rlike("^[3-6]"), 3: bare.rlike(r"[0-9]{4}$")}[kind]
+    word = F.lower(m["left"]).rlike("mail|phone|tel|call|fax|card|visa|account|addr|contact|host|server|ip")
+    number_of_signs = F.length(F.regexp_replace(bare, r"[A-Za-z0-9@\x20]", ""))
     return F.struct(
-        m["start"].alias("start"), m["end"].alias("end"), base.alias("base"), valid.alias("valid"), F.lit(kind).alias("kind"),
-        F.lit(int(plain)).alias("plain"), F.when(n < 9, 0).when(n < 12, 1).when(n < 16, 2).when(n == 16, 3).otherwise(4).alias("digits"),
+        m["start"].alias("start"), m["end"].alias("end"), base.alias("base"), F.lit(role != OTHER).alias("known"),
+        (F.lit(role == OTHER) & (checksum if kind == 2 else F.lit(True))).alias("open"), F.lit(kind).alias("kind"),
+        F.when(count < 4, 0).when(count < 8, 1).when(count < 12, 2).when(count < 17, 3).otherwise(4).alias("digits"),
         F.least(number_of_signs, F.lit(5)).alias("signs"), _char_class(F.right(m["left"], F.lit(1))).alias("left"), _char_class(m["right"]).alias("right"),
         word.cast("int").alias("word"), shape.cast("int").alias("shape"))
 
 
-def _candidates_of(kind: int, plain: bool):
-    return lambda m: _candidate(kind, plain, m)
+def _candidates_of(kind: int, role: str):
+    return lambda m: _candidate(kind, role, m)
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """Staged (doc_id, found): the candidates of every row with their categories."""
     rows = docs.select("doc_id", text_of().alias("text"))
     names = []
-    for k, (kind, plain, pattern, signs) in enumerate(GENERATORS):
+    for k, (_, _, pattern, signs) in enumerate(GENERATORS):
         gate = None
         for s in signs:
             gate = F.contains("text", F.lit(s)) if gate is None else gate | F.contains("text", F.lit(s))
         rows = with_matches(rows, f"m{k}", pattern, "text", gate)
         names.append(f"m{k}")
     rows = rows.drop("text")
-    found = F.concat(*(F.transform(n, _candidates_of(kind, plain)) for n, (kind, plain, _, _) in zip(names, GENERATORS)))
+    found = F.concat(*(F.transform(n, _candidates_of(kind, role)) for n, (kind, role, _, _) in zip(names, GENERATORS)))
     return stage(rows.select("doc_id", found.alias("found")), "pii-candidates")
 
 
 @dataclass
 class Model:
-    bias: float = 0.0
-    trees: list = field(default_factory=list)
-    thresholds: tuple = (None,) * len(KINDS)  # least score of a further span by kind
+    """Per kind the bias, the trees and the least score of a further span (None: no score reaches the precision)."""
+    kinds: tuple = ((0.0, (), None),) * len(KINDS)
 
 
-def fit(found: DataFrame, precision: float = PRECISION) -> Model:
+def fit(found: DataFrame, precision: float = PRECISION, prior: float = PRIOR) -> Model:
     held = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
-    rows = found.select(held.alias("held"), F.explode("found").alias("c")).groupBy("held", *(F.col(f"c.{f}").alias(f) for f in FEATURES)).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("c.valid").cast("long")).alias("valid")).collect()
-    if not rows:
-        return Model()
-    x = np.array([[r[f] for f in FEATURES] for r in rows])
-    n, valid = np.array([r.n for r in rows], float), np.array([r.valid for r in rows], float)
-    held_out = np.array([r.held for r in rows])
-    if not 0 < valid[~held_out].sum() < n[~held_out].sum():
-        return Model()
-    bias, trees = boosting.fit(x[~held_out], valid[~held_out], n[~held_out])
-    score = boosting.predict(x, bias, trees)
-    thresholds = []
+    known = found.select(held.alias("held"), F.explode(F.filter("found", lambda s: s["known"])).alias("c"))
+    rows = known.groupBy("held", "c.kind", *(F.col(f"c.{f}").alias(f) for f in FEATURES)).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("c.base").cast("long")).alias("positives")).collect()
+    models = []
     for kind in range(len(KINDS)):
-        mine = np.flatnonzero(held_out & (x[:, 0] == kind))
-        mine = mine[np.argsort(-score[mine], kind="stable")]
-        best = None
-        for k, row in enumerate(mine):
-            if k + 1 < len(mine) and score[mine[k + 1]] == score[row]:
-                continue
-            seen, right = n[mine[:k + 1]].sum(), valid[mine[:k + 1]].sum()
-            if seen >= LEAST_PROOF and right >= precision * seen:
-                best = float(score[row])
-        thresholds.append(best)
-    return Model(bias, trees, tuple(thresholds))
+        mine = sorted((r for r in rows if r.kind == kind), key=lambda r: tuple(r)[2:])
+        if not mine:
+            models.append((0.0, (), None))
+            continue
+        x = np.array([[r[f] for f in FEATURES] for r in mine])
+        n, right = np.array([r.n for r in mine], float), np.array([r.positives for r in mine], float)
+        held_out = np.array([r.held for r in mine])
+        seen = ~held_out if not held_out.all() else held_out
+        bias, trees = boosting.fit(x[seen], right[seen], n[seen], rounds=ROUNDS)
+        models.append((bias, trees, threshold(boosting.predict(x, bias, trees), n, right, held_out, precision, prior)))
+    return Model(tuple(models))
+
+
+def threshold(score: np.ndarray, n: np.ndarray, right: np.ndarray, held_out: np.ndarray, precision: float, prior: float) -> float | None:
+    """The lowest score of a kind's rows at which (held-out right + prior * p) / (held-out all + prior) reaches the
+    precision; p is the model's mean probability of all candidates with at least that score."""
+    best = None
+    for cut in np.unique(score)[::-1]:
+        above = score >= cut
+        p = (n[above] / (1 + np.exp(-score[above]))).sum() / n[above].sum()
+        tested = above & held_out
+        if right[tested].sum() + prior * p >= precision * (n[tested].sum() + prior):
+            best = float(cut)
+    return best
 
 
 def redactions(found: DataFrame, model: Model) -> DataFrame:
@@ -128,14 +147,11 @@ def redactions(found: DataFrame, model: Model) -> DataFrame:
         return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
 
     def chosen(s):
-        if all(t is None for t in model.thresholds):
-            return F.lit(False)
-        score = boosting.as_column([s[f] for f in FEATURES], model.bias, model.trees)
         enough = F.lit(False)
-        for kind, t in enumerate(model.thresholds):
-            if t is not None:
-                enough = enough | ((s["kind"] == kind) & (score >= t - 1e-9))
-        return ~s["base"] & s["valid"] & enough
+        for kind, (bias, trees, least) in enumerate(model.kinds):
+            if least is not None:
+                enough = enough | ((s["kind"] == kind) & (boosting.as_column([s[f] for f in FEATURES], bias, trees) >= least - 1e-9))
+        return s["open"] & enough
 
     base = F.transform(F.filter("found", lambda s: s["base"]), short)
     rows = found.select("doc_id", base.alias("base"), F.transform(F.filter("found", chosen), short).alias("more"))
@@ -147,4 +163,4 @@ def op2_pii_boosted_candidates(spark, sf_dir):
     found = candidates(documents(spark, sf_dir))
     spans = redactions(found, fit(found))
     return spans.select("doc_id", *kind_counts("base", KINDS), F.sha2(listed(F.col("base"), KINDS), 256).alias("base_sha256"),
-                        listed(F.concat("base", "further"), KINDS).alias("spans"))
+                        listed(F.concat("base", "further"), KINDS).alias("spans"), F.size(F.concat("base", "further")).cast("long").alias("n_spans"))
