@@ -50,6 +50,41 @@ def test_ids_are_those_of_the_tokenizers_library():
         assert fast(text) == slow(text)
 
 
+def read_back(rows):
+    """{(doc_id, copy_id): ids} from rows of sequences with token ids."""
+    docs = defaultdict(list)
+    for r in rows:
+        docs[(r.doc_id, r.copy_id)].append((r.start, bytes(r.ids)))
+    return {k: b"".join(ids for _, ids in sorted(v)) for k, v in docs.items()}
+
+
+def test_copies_of_one_id_read_back_apart(spark):
+    """Mixing emits copies under one id: pieces join their places one to one, and the sequences hold whole documents."""
+    long_text = awkward()[3][1]
+    rows = [(5, "one two three", "en", "s")] * 3 + [(6, long_text, "en", "s")] * 2 + [(None, "x", "en", "s")] * 2
+    pieces, places = packing.pack(table(spark, rows))
+    assert places.join(pieces.select("copy_id", "piece", "ids"), ["copy_id", "piece"]).count() == pieces.count() == places.count()
+    reader = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = packing.pack_with_ids(table(spark, rows)).collect()
+    want = sorted((repr(i), b"".join(t.to_bytes(4, "little") for t in [*reader.encode(text, add_special_tokens=False).ids, 0])) for i, text, *_ in rows)
+    assert sorted((repr(i), ids) for (i, _), ids in read_back(got).items()) == want
+
+
+def test_full_pieces_need_no_plan(spark):
+    places = packing.place(packing.tokenize(table(spark, awkward()), capacity=50), capacity=50).collect()
+    whole = [p for p in places if p.length == 50]
+    assert len(whole) > 100 and all(p.offset == 0 and p.sequence_id < 0 for p in whole) and len({p.sequence_id for p in whole}) == len(whole)
+    assert all(p.sequence_id >= 0 for p in places if p.length < 50)
+
+
+def test_special_tokens_are_those_of_the_plain_call():
+    vocabulary, ranks = packing.default_tokenizer()
+    plain = Tokenizer.from_file(vocabulary)
+    for special in plain.get_added_tokens_decoder().values():
+        text = f"a {special.content} b"
+        assert packing.encoder(vocabulary, ranks)(text) == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_empty_table(spark):
     assert packing.pack(table(spark, []))[1].count() == 0
 

@@ -23,7 +23,7 @@ def test_matches_duckdb(spark, name):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
@@ -65,6 +65,29 @@ def test_stages_in_turn(spark, tmp_path):
     assert max(times.values()) <= 3 and {r.doc_id: r.text for r in seen["source_mixing"]}.items() <= got.items()
     placed = Counter(r.doc_id for r in seen["best_fit_packing"] if r.piece == 0)
     assert placed == times
+    sequences = {}
+    for r in seen["best_fit_packing"]:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, bytes(r.ids)))
+    for parts in sequences.values():  # the ids of a sequence lie gapless and within the capacity
+        end = 0
+        for offset, ids in sorted(parts):
+            assert offset == end
+            end += len(ids) // 4
+        assert end <= 2048
+
+
+@pytest.mark.parametrize("name,step", corpus_pipeline.STAGES)
+def test_stages_on_empty_repeated_and_long_rows(spark, name, step):
+    none = table(spark, [])
+    out = step(spark, none, "")
+    assert out.count() == 0 and (out.columns == none.columns or name == "best_fit_packing")
+    text = prose(77, 20_000)
+    rows = [(1, text, "en", "s1"), (2, "short words only here", "en", "s1"), (2, "short words only here", "en", "s1"), (3, None, None, None)]
+    rows += [(10 + k, prose(k, 50), "en", "s1") for k in range(12)]
+    got = step(spark, table(spark, rows), "").collect()
+    assert {r.doc_id for r in got} >= ({1} | set(range(10, 22)) if name != "source_mixing" else {1})
+    if name not in ("source_mixing", "best_fit_packing"):
+        assert sum(r.doc_id == 2 for r in got) in (0, 2) and next(r for r in got if r.doc_id == 1).text == text
 
 
 def test_run_is_the_stages_in_turn(spark):
