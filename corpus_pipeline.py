@@ -1,4 +1,13 @@
-"""The corpus pipeline over `documents`: each stage is written as Parquet and reread as the next one's docs."""
+"""The corpus pipeline over `documents`: each stage is written as Parquet and reread as the next one's docs.
+
+Every stage takes and gives the columns of documents, extra ones included, and works on an empty table. Nulls and ties:
+language ID drops null texts and texts without a letter; line dedup keeps null texts and lets a null id come first; near
+dedup keeps texts without words and rows with a null id, and of equal texts the smallest id; mixing takes null sources last
+and counts null texts as size 0, so it takes none of them; packing reads null texts as empty. Repeated rows share one fate
+until mixing, which emits each of them as often as its rate says. Texts of any length go through whole.
+
+The result can be read on its own: the rows of a sequence_id in the order of offset hold its token ids.
+"""
 
 from __future__ import annotations
 
@@ -17,7 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that repeat earlier three-line windows; every document stays."""
-    return lines.drop_repeated_lines(docs).select(*docs.columns)
+    return lines.drop_repeated_lines(docs, counts=False)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +40,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of all documents' pieces in sequences."""
-    return packing.pack(docs)[1]
+    """The places of all pieces in sequences, with their token ids; copy_id tells the copies of one document apart."""
+    return packing.pack_with_ids(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
