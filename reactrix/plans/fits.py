@@ -8,12 +8,14 @@ from ..functions import ordering as O
 from ..functions import scores as S
 from ..functions import stats as ST
 from ..operators import aggregates as A
+from ..operators import bootstrap as BS
 from ..operators import fits as M
 from ..params import DENOMINATORS, WEIGHT_SUBSETS
 from ..session import shared_table, stage
 from ..sources import views as V
 from .aggregations import bucket_curve, curve_rows, edge_items, item_labels, mature, med, midrank_sql, upper, user_arm, inflow
 from .registry import query, shared_sql
+from .windows import h
 
 GRID = dict(start=3.0, stop=8.4, step=0.1)  # the driver's views reach 2.5e8
 
@@ -212,12 +214,33 @@ def arm_comparison(spark, sf):
         "better", (F.round("p_greater", 6) < 0.05) & (F.col("mean_ratio") >= 1.3))
 
 
-REPLICATES, BLOCK = 4000, 100
+REPLICATES = 4000
+
+
+def draws_sql(clusters, keys, replicates):
+    """DuckDB text of (keys, idx, b, times) from clusters (keys, idx, total): the draws of operators.bootstrap."""
+    named, text = ", ".join(keys), " || ':' || ".join(keys)
+    mean = f"greatest(0e0, 1e0 - {BS.SPARE}e0 / sqrt(total::DOUBLE))"
+    p = below = "exp(-mean)"
+    limits = []
+    for k in range(1, BS.COUNTS + 1):
+        limits.append(f"printf('%08x', least(floor(({below}) * 4294967296e0)::BIGINT, 4294967295))")
+        p = f"{p} * mean / {k}e0"
+        below = f"{below} + {p}"
+    count = " ".join(f"WHEN s < t[{k + 1}] THEN {k}" for k in range(BS.COUNTS))
+    return f"""(WITH limits AS (SELECT *, [{", ".join(limits)}] AS t FROM (SELECT {named}, idx, total, {mean} AS mean FROM {clusters})),
+  hashed AS (SELECT {named}, idx, total, t, q, md5({text} || ':' || idx || ':' || q) AS m FROM limits, (SELECT unnest(range({replicates // BS.PER_HASH})) AS q)),
+  first AS MATERIALIZED (SELECT {named}, idx, total, q * {BS.PER_HASH} + i AS b, CASE {count} ELSE {BS.COUNTS} END AS times
+    FROM (SELECT *, substr(m, 8 * i::INT + 1, 8) AS s FROM hashed, (SELECT unnest(range({BS.PER_HASH})) AS i))),
+  lacking AS (SELECT {named}, total, b, unnest(range(greatest(0, total - draws))) AS d FROM (SELECT {named}, any_value(total) AS total, b, sum(times)::BIGINT AS draws FROM first GROUP BY {named}, b))
+  SELECT {named}, idx, b, sum(times)::BIGINT AS times FROM (SELECT {named}, idx, b, times FROM first WHERE times > 0
+    UNION ALL SELECT {named}, {h(f"{text} || ':' || b || ':+:' || d", "total")} AS idx, b, 1 AS times FROM lacking) GROUP BY {named}, idx, b)"""
+
+
 shared_sql("clusters", ["edge_items"], """SELECT arm, row_number() OVER (PARTITION BY arm ORDER BY user_id) - 1 AS idx, n, g, count(*) OVER (PARTITION BY arm) AS total
   FROM (SELECT arm, user_id, count(*) AS n, count(*) FILTER (tier = 'high') AS g FROM edge_items WHERE view >= 3000 GROUP BY arm, user_id)""")
-shared_sql("boot", ["clusters"], f"""SELECT arm, list_sort(list(rate)) AS rates FROM (SELECT d.arm, b, sum(g) * 1e0 / greatest(1, sum(n)) AS rate FROM (
-  SELECT arm, b, ('0x' || substr(md5(arm || ':' || b || ':' || idx), 1, 8))::BIGINT % total AS pick FROM clusters, (SELECT unnest(generate_series(0, {REPLICATES - 1})) AS b)) d
-  JOIN clusters c ON c.arm = d.arm AND c.idx = d.pick GROUP BY d.arm, b) GROUP BY arm""")
+shared_sql("boot", ["clusters"], f"""SELECT arm, list_sort(list(rate)) AS rates FROM (SELECT arm, b, sum(g * times) * 1e0 / greatest(1, sum(n * times)) AS rate
+  FROM {draws_sql("clusters", ["arm"], REPLICATES)} d JOIN clusters c USING (arm, idx) GROUP BY arm, b) GROUP BY arm""")
 BOOT_SQL = f"round(list_avg(rates), 6) AS mean, round(rates[{int(0.025 * REPLICATES) + 1}], 6) AS lo, round(rates[{int(0.975 * REPLICATES)}], 6) AS hi"
 
 
@@ -227,16 +250,11 @@ def bootstrap(spark, sf):
 
 
 def resampled(spark, sf):
-    """Whole users drawn with replacement per arm; a replicate's draws meet their cluster by index."""
+    """Whole users drawn with replacement per arm; the shuffle carries one total per task, arm and replicate."""
     users = edge_items(spark, sf).filter("view >= 3000").groupBy("arm", "user_id").agg(F.count("*").alias("n"), F.count_if(A.is_high()).alias("g"))
     clusters = stage(O.positions(users, ["arm"], ["user_id"]), "clusters")
-    blocks = clusters.select("arm", "group_n", F.col("pos").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(REPLICATES // BLOCK - 1))).alias("block")).repartition("arm", "block", "j")
-    draws = blocks.select("arm", "group_n", "j", F.explode(F.sequence(F.col("block") * BLOCK, F.col("block") * BLOCK + (BLOCK - 1))).alias("b")).select(
-        "arm", "b", ST.draw(F.concat_ws(":", "arm", "b", "j"), F.col("group_n")).alias("pos"))
-    reps = O.join_counted(draws, clusters.select("arm", "pos", "n", "g"), ["arm", "pos"]).groupBy("arm", "b").agg(
-        A.ratio(F.sum("g"), F.greatest(F.lit(1), F.sum("n"))).alias("rate"))
-    ordered = reps.groupBy("arm").agg(F.avg("rate").alias("mean"), F.array_sort(F.collect_list("rate")).alias("r"))  # REPLICATES values per arm
-    return ordered.select("arm", "mean", F.element_at("r", int(0.025 * REPLICATES) + 1).alias("lo"), F.element_at("r", int(0.975 * REPLICATES)).alias("hi"))
+    reps = BS.replicate_sums(clusters, ["arm"], ["n", "g"], REPLICATES).select("arm", A.ratio(F.col("g"), F.greatest(F.lit(1), F.col("n"))).alias("rate"))
+    return BS.interval(reps, ["arm"], "rate", int(0.025 * REPLICATES), int(0.975 * REPLICATES) - 1)
 
 
 @query("cluster_bootstrap_rate", ["boot"], f"SELECT arm, {BOOT_SQL} FROM boot")

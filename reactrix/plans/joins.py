@@ -228,9 +228,12 @@ def walk(spark, sf, depth=None):
         confluence(spark, sf).select("item_id"), V.members(spark, sf), ptiers(spark, sf), G.POLICIES, depth))
 
 
+POLICY_VALUES = "(VALUES " + ", ".join(f"('{p.name}', {p.width}, {p.least}, {p.second_tier}, '{p.order}', {p.cap})" for p in G.POLICIES) + ") p(policy, width, least_n, two, ord, cap)"
+
+
 def walk_sql(depth):
     """The same walk unrolled for a fixed depth."""
-    pol = "(VALUES " + ", ".join(f"('{p.name}', {p.width}, {p.least}, {p.second_tier}, '{p.order}', {p.cap})" for p in G.POLICIES) + ") p(policy, width, least_n, two, ord, cap)"
+    pol = POLICY_VALUES
     parts = [f"f0 AS (SELECT policy, width, least_n, two, ord, cap, item_id AS seed, item_id FROM seeds18, {pol})", "v0 AS (SELECT policy, seed, item_id FROM f0)"]
     for i in range(1, depth + 1):
         rnd = h(f"policy || ':' || seed || ':{i}:' || item_id")
@@ -249,7 +252,9 @@ def frontier_expansion(spark, sf):
     return G.hop_summary(walk(spark, sf))
 
 
-@query("frontier_status")
+@query("frontier_status", ["seeds18", "related", "ptiers"], walk_sql(25).replace(" SELECT policy, seed, CAST(1", """ SELECT policy, seed, depth, tops, nodes, CASE WHEN last = depth AND depth >= cap THEN 'censored_depth' WHEN two THEN 'dry' ELSE 'pruned' END AS status
+  FROM (SELECT policy, seed, max(hop) AS depth, CAST(sum(tops) AS BIGINT) AS tops, CAST(sum(reached) AS BIGINT) AS nodes, max(hop) FILTER (chosen > 0) AS last FROM (SELECT policy, seed, CAST(1""", 1)
+       + ") GROUP BY policy, seed) JOIN " + POLICY_VALUES + " USING (policy)")
 def frontier_status(spark, sf):
     return G.walk_status(walk(spark, sf))
 

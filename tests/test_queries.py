@@ -11,7 +11,8 @@ NAMES = ("weighted_ratio_score", "feed_verdict_variants", "percentile_tier_table
          "budget_yield_curve", "fit_baseline_curve", "formula_grid", "lorenz_gini_zipf", "latest_snapshot_merge", "review_batch", "greedy_diverse_picks",
          "layer_novelty", "pool_merge", "frontier_three_hops", "normalize_item", "catalog_fingerprint", "naive_bayes_predict", "title_number_flag", "stream_feed_verdict",
          "backfill_incomplete", "new_item_antijoin", "caliper_candidates", "caliper_matching", "daily_new_items", "verdict_cache_ttl", "reference_overlap",
-         "neighbourhood_vs_band_percentile", "two_level_chain", "user_flow_strength", "backfill_targets", "catalog_build", "noise_interval_check")
+         "neighbourhood_vs_band_percentile", "two_level_chain", "user_flow_strength", "backfill_targets", "catalog_build", "noise_interval_check", "paired_effect",
+         "matched_audit_report", "pooled_hop_summary")
 
 
 @pytest.fixture(scope="module")
