@@ -11,9 +11,11 @@ sets (80 unless the caller says otherwise; the contract of op4 says 85), and a c
 * A bucket of n nodes never lists its n^2 pairs: each node is held against the bucket's hub, the member whose buckets are
   fullest. Pairs pass if their 8-bit signatures agree to within 6 standard deviations under the limit and their full
   sets confirm the link.
-* Components of those links settle most buckets. Where members of one bucket are still apart, all pairs across
-  components are compared by signature, in blocks of at most `block` members a side held in one task's memory, and
-  again confirmed on full sets; so no link depends on the choice of the hub.
+* Components of those links settle most buckets. Where members of one bucket of at most `block` are still apart, all
+  pairs across components are compared by signature in one task's memory and again confirmed on full sets; so no link
+  depends on the choice of the hub. The members of larger ones are first dealt anew, exactly: by each of their rarest
+  shingles, as many as every pair at the limit must share one of (prefix filter). What many texts share makes no such bucket.
+  Should one still exceed `block`, its pairs are compared in blocks of at most `block` members a side.
 
 Null and empty texts have no shingles, are linked with nothing and are kept. A row with null id stands alone: its
 component is null and it is kept. Rows that share an id share that node's component. Extra columns are kept where rows
@@ -27,6 +29,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -224,13 +227,42 @@ def _joined_batches(rest: pa.RecordBatch | None, batch: pa.RecordBatch) -> pa.Re
     return whole[0]
 
 
+def _prefix_buckets(crowded: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(bucket, node, component) of crowded (node, component): each node under its rarest shingles. Two sets at the limit
+    share a shingle among the first size - ceil(percent * size) + 1 of each, whatever the common order; ordered by rarity,
+    passages that many share come last and make no buckets."""
+    def listed(batches):
+        for batch in slices(batches, 200):
+            node, component, raw = batch.column(0), batch.column(1), batch.column(2).to_pylist()
+            n = [len(r) // 8 for r in raw]
+            at = pa.array(np.repeat(np.arange(len(n)), n))
+            yield pa.RecordBatch.from_arrays([node.take(at), component.take(at), pa.array(np.repeat(n, n), pa.int64()),
+                                              pa.array(np.frombuffer(b"".join(raw), np.int64))], ["node", "component", "size", "bucket"])
+
+    id_type = crowded.schema["node"].dataType
+    schema = T.StructType([T.StructField("node", id_type), T.StructField("component", id_type), T.StructField("size", T.LongType()), T.StructField("bucket", T.LongType())])
+    rows = crowded.join(sets.select(F.col("doc_id").alias("node"), "shingles"), "node").select("node", "component", "shingles").mapInArrow(listed, schema)
+    known = rows.join(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")), "bucket")
+    first = F.row_number().over(W.partitionBy("node").orderBy("held", "bucket"))  # a text's own shingles
+    length = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+    return known.withColumn("place", first).filter((F.col("place") <= length) & (F.col("held") > 1)).select("bucket", "node", "component")
+
+
 def _across(shared: DataFrame, sketches: DataFrame, sets: DataFrame, hashes: int, block: int, percent: int) -> DataFrame:
     """Links (u, v) between different components within a bucket, by signatures and then full sets, block by block: as
-    many as join the components that each block pair can join, so never more than the rows compared."""
-    apart = shared.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
-    apart = apart.filter("low < high").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    many as join the components that each block pair can join, so never more than the rows compared. The members of
+    buckets beyond one block are first dealt anew by their rarest shingles."""
+    def apart_of(rows):
+        found = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
+        return found.filter("low < high").select("bucket", "n")
+
+    together = stage(shared.join(apart_of(shared), "bucket"), "apart")
+    crowded = together.filter(F.col("n") > block).select("node", "component").distinct()
+    again = stage(_prefix_buckets(crowded, sets, percent), "rare-shingles")
+    members = together.filter(F.col("n") <= block).select("bucket", "node", "component").union(again.select(F.xxhash64("bucket").alias("bucket"), "node", "component"))
+    apart = apart_of(members).select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    members = shared.join(apart, "bucket").select("bucket", "node", "component", "blocks", mine.alias("own"))
+    members = members.join(apart, "bucket").select("bucket", "node", "component", "blocks", mine.alias("own"))
     known = members.join(sketches.select(F.col("doc_id").alias("node"), "sig"), "node").join(sets.select(F.col("doc_id").alias("node"), "shingles"), "node")
     dealt = known.select("bucket", "own", "node", "component", "sig", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "sig", "shingles")

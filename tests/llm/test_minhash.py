@@ -114,3 +114,35 @@ def test_blocks_of_more_than_2_gb_keep_every_row():
     batches = [pa.RecordBatch.from_arrays([pa.array([k]), value], ["node", "shingles"]) for k in range(2)]
     rows = minhash._joined_batches(minhash._joined_batches(None, batches[0]), batches[1])
     assert rows.column(0).to_pylist() == [0, 1] and [len(x.as_buffer()) for x in rows.column(1)] == [size, size]
+
+
+def test_common_passages_make_no_quadratic_buckets(spark, monkeypatch):
+    """Many texts that share half of their words, some with near copies: the links of all pairs, through few comparisons."""
+    shared_part = prose(1, 80)
+    rows = [(k, f"{shared_part} {prose(2000 + k, 70, 3000)}", "en", "s") for k in range(240)]
+    rows += [(1000 + k, f"{shared_part} {prose(2000 + k, 70, 3000)} end{k}", "en", "s") for k in range(0, 240, 6)]
+    docs = table(spark, rows)
+    want, _ = near_components(rows, 80)
+    assert sum(i != c for i, c in want.items()) == 40
+    dealt = []
+    kept = minhash._prefix_buckets
+    monkeypatch.setattr(minhash, "_prefix_buckets", lambda *a: dealt.append(kept(*a)) or dealt[-1])
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, block=8).collect()}
+    assert got == want
+    sizes = [r["count"] for r in dealt[0].groupBy("bucket").count().collect()]
+    assert sum(n * (n - 1) // 2 for n in sizes) < 280 * 60  # all pairs of 280 texts: 39 060
+
+
+def test_rarest_shingles_of_linked_sets_meet():
+    """Any order: two sets at the limit share one of the first size - ceil(limit * size) + 1 of each."""
+    import math
+
+    rng = random.Random(4)
+    for percent in (80, 85):
+        for _ in range(200):
+            a = set(rng.sample(range(200), rng.randint(1, 60)))
+            b = {x if rng.random() < 0.93 else x + 1000 for x in a}
+            if 100 * len(a & b) >= percent * len(a | b):
+                order = {x: rng.random() for x in a | b}
+                first = [set(sorted(s, key=order.get)[:len(s) - math.ceil(len(s) * percent / 100) + 1]) for s in (a, b)]
+                assert first[0] & first[1]
