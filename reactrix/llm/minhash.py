@@ -11,11 +11,12 @@ sets (80 unless the caller says otherwise; the contract of op4 says 85), and a c
 * A bucket of n nodes never lists its n^2 pairs: each node is held against the bucket's hub, the member whose buckets are
   fullest. Pairs pass if their 8-bit signatures agree to within 6 standard deviations under the limit and their full
   sets confirm the link.
-* Components of those links settle most buckets. Where members of one bucket of at most `block` are still apart, all
-  pairs across components are compared by signature in one task's memory and again confirmed on full sets; so no link
-  depends on the choice of the hub. The members of larger ones are first dealt anew, exactly: by each of their rarest
-  shingles, as many as every pair at the limit must share one of (prefix filter). What many texts share makes no such bucket.
-  Should one still exceed `block`, its pairs are compared in blocks of at most `block` members a side.
+* Components of those links settle most buckets. Where members of one bucket are still apart, all pairs across
+  components are compared by signature, in blocks of at most `block` members a side held in one task's memory, and
+  again confirmed on full sets; so no link depends on the choice of the hub. With at most `block` members outside the
+  bucket's largest component that is at most 2 * `block` comparisons a member. The members of buckets with more are
+  first dealt anew, exactly: by each of their rarest shingles, as many as every pair at the limit must share one of (prefix
+  filter), so that what many texts share makes no bucket.
 
 Null and empty texts have no shingles, are linked with nothing and are kept. A row with null id stands alone: its
 component is null and it is kept. Rows that share an id share that node's component. Extra columns are kept where rows
@@ -251,15 +252,17 @@ def _prefix_buckets(crowded: DataFrame, sets: DataFrame, percent: int) -> DataFr
 def _across(shared: DataFrame, sketches: DataFrame, sets: DataFrame, hashes: int, block: int, percent: int) -> DataFrame:
     """Links (u, v) between different components within a bucket, by signatures and then full sets, block by block: as
     many as join the components that each block pair can join, so never more than the rows compared. The members of
-    buckets beyond one block are first dealt anew by their rarest shingles."""
+    buckets with more than one block outside their largest component are first dealt anew by their rarest shingles."""
     def apart_of(rows):
-        found = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
-        return found.filter("low < high").select("bucket", "n")
+        """(bucket, n, rest): buckets of more than one component, their members, and those outside the largest component."""
+        parts = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("held"))
+        found = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("held").alias("n"), F.max("held").alias("top"))
+        return found.filter("parts > 1").select("bucket", "n", (F.col("n") - F.col("top")).alias("rest"))
 
     together = stage(shared.join(apart_of(shared), "bucket"), "apart")
-    crowded = together.filter(F.col("n") > block).select("node", "component").distinct()
+    crowded = together.filter(F.col("rest") > block).select("node", "component").distinct()
     again = stage(_prefix_buckets(crowded, sets, percent), "rare-shingles")
-    members = together.filter(F.col("n") <= block).select("bucket", "node", "component").union(again.select(F.xxhash64("bucket").alias("bucket"), "node", "component"))
+    members = together.filter(F.col("rest") <= block).select("bucket", "node", "component").union(again.select(F.xxhash64("bucket").alias("bucket"), "node", "component"))
     apart = apart_of(members).select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     members = members.join(apart, "bucket").select("bucket", "node", "component", "blocks", mine.alias("own"))
