@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 from ..sources import views as V
 from ..streaming import feeds as S
+from ..streaming.tables import keep_current
 from .projections import OFFLINE
 from .registry import query
 
@@ -34,8 +35,7 @@ def capture_stream(spark, sf, files=4):
 @query("stream_feed_verdict", ["verdicts"], "SELECT coalesce(first_reason, 'kept') AS reason, count(*) AS n, count(*) FILTER (hide) AS cut, CAST(sum(view) AS BIGINT) AS views FROM verdicts GROUP BY 1")
 def stream_feed_verdict(spark, sf):
     path, schema = arriving(spark, sf, "feed", lambda: V.scored(spark, sf), "year")
-    changes = S.run_available(S.verdict_counts(S.file_stream(spark, path, schema), OFFLINE), "update", "verdicts")
-    return S.latest_rows(changes, ["reason"])
+    return keep_current(S.verdict_counts(S.file_stream(spark, path, schema), OFFLINE), ["reason"], "verdicts")
 
 
 TTL = 1440  # minutes
@@ -53,12 +53,10 @@ def verdict_cache_ttl(spark, sf):
 
 @query("incremental_snapshot_state", ["snapshots"], "SELECT item_id, round(counter, 6) AS counter, extra, first_seen, last_seen, captures FROM snapshots")
 def incremental_snapshot_state(spark, sf):
-    changes = S.run_available(S.snapshot_state(capture_stream(spark, sf)), "update", "state")
-    return S.latest_rows(changes, ["item_id"])
+    return keep_current(S.snapshot_state(capture_stream(spark, sf)), ["item_id"], "state")
 
 
 @query("daily_new_items", ["captures"], """SELECT strftime(ts, '%Y%m%d') AS day, source, count(*) AS new_items, count(*) FILTER (valid) AS valid FROM (
   SELECT item_id, min(ts) AS ts, arg_min(event_type, (ts, capture_id)) AS source, arg_min(complete, (ts, capture_id)) AS valid FROM captures GROUP BY item_id) GROUP BY 1, 2""")
 def daily_new_items(spark, sf):
-    changes = S.run_available(S.first_seen(capture_stream(spark, sf)), "update", "daily")
-    return S.new_per_day(S.latest_rows(changes, ["item_id"]))
+    return S.new_per_day(keep_current(S.first_seen(capture_stream(spark, sf)), ["item_id"], "daily"))
