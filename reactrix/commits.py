@@ -11,8 +11,8 @@ from pyspark.sql import SparkSession
 class Commits:
     """Numbered commits below `path`. A commit appears by one rename, so readers see it whole or not at all.
 
-    Commits are never changed. `tidy` deletes all but the last two, and the folders that those two do not name, so a
-    reader or a retry that still holds the last but one goes on undisturbed.
+    Commits are never changed. `tidy` deletes all but the last `generations` and the folders that those do not name;
+    with two, a reader or a retry that still holds the last but one goes on undisturbed.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -58,10 +58,10 @@ class Commits:
     def folder(self, name: str) -> str:
         return f"{self.path}/data/{name}"
 
-    def tidy(self) -> None:
+    def tidy(self, generations: int = 2) -> None:
         numbers = self.numbers()
-        kept = {name for n in numbers[-2:] for name in self.read(n)["folders"]}
-        for n in numbers[:-2]:
+        kept = {name for n in numbers[-generations:] for name in self.read(n)["folders"]}
+        for n in numbers[:-generations]:
             self._files.delete(self._at(f"commits/{n:020d}"), False)
         for name in self._names("data"):
             if name not in kept:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import ordering as O
 from ..operators import aggregates as A
 from ..params import PUBLIC_FIELDS
-from ..session import shared_dir, shared_table
+from ..session import shared_dir
 from ..sources import captures as C
 from ..sources import sinks as K
 from ..sources import views as V
@@ -70,6 +71,18 @@ def capture_key_cutoff(spark, sf):
     return C.keep_files(e.select(name.alias("name")), "name", "20240120")
 
 
+@query("capture_files_until", ["captures"], """SELECT day, count(*) AS n, round(sum(counter), 3) AS total FROM (SELECT *, strftime(ts, '%Y%m%d') AS day FROM captures) WHERE event_type <> 'error' AND day <= '20240120' GROUP BY day""")
+def capture_files_until(spark, sf):
+    """Capture folders named by day and kind; those after the cutoff and derived products are not part of the scan."""
+    stamp = F.date_format("ts", "yyyyMMdd")
+    kind = F.when(F.col("event_type") == "error", "_analysis").otherwise("")
+    rows = V.captures(spark, sf).withColumn("capture", F.concat(F.lit("capture_"), stamp, kind)).withColumn("day", stamp)
+    path = f"{shared_dir(spark)}/capture-files-{uuid.uuid4().hex}"
+    rows.write.partitionBy("capture").parquet(path)
+    stored = spark.read.schema(rows.schema).parquet(path)
+    return C.keep_files(stored, "capture", "20240120").groupBy("day").agg(F.count("*").alias("n"), F.round(F.sum("counter"), 3).alias("total"))
+
+
 @query("counter_completeness", ["items"], """SELECT item_id, coalesce(nullif(favorite, 0), favourite, 0) AS fav, view > 0 AND (coalesce(l, 0) > 0 OR coalesce(c, 0) > 0) AS usable, view > 0 AND l IS NOT NULL AND c IS NOT NULL AS complete
   FROM (SELECT item_id, view, CASE WHEN rotate = 90 THEN 0 ELSE fav END AS favorite, CASE WHEN rotate = 90 THEN fav END AS favourite, CASE WHEN width > height THEN coin END AS c, CASE WHEN category <> '5-LOW' THEN like_cnt END AS l FROM items)""")
 def counter_completeness(spark, sf):
@@ -146,10 +159,12 @@ def anonymise_id(spark, sf):
 
 @query("frozen_reference_manifest")
 def frozen_reference_manifest(spark, sf):
+    """The input files against the manifest of the first run over this folder, which is kept in the shared folder."""
+    store = f"{shared_dir(spark)}/reference-{hashlib.sha256(sf.encode()).hexdigest()[:16]}"
     actual = C.manifest(spark, sf, "*.parquet")
-    stored = shared_table(spark, sf, "manifest", lambda: actual)
-    C.check_manifest(actual, stored)
-    return stored
+    if C.frozen(spark, store) is None:
+        C.freeze(spark, actual, store)
+    return C.manifest_report(actual, C.frozen(spark, store)[0]).select("file", "sha256", "problem")
 
 
 FP_FIELDS = ("item_id", "title", "view", "coin", "fav", "like_cnt")
@@ -177,6 +192,16 @@ def content_addressed_pages(spark, sf):
     return K.pages(V.items(spark, sf), "source", [F.desc("view"), "item_id"], ["item_id", "title", "view"]).drop("body")
 
 
+@query("published_pages", ["items"], """SELECT source AS stream, page, count(*) AS n, sha256(string_agg(item_id || '|' || title || '|' || view, chr(10) ORDER BY pos)) AS body_sha256 FROM (SELECT *, pos // 96 AS page FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY view DESC, item_id) - 1 AS pos FROM items)) GROUP BY source, page""")
+def published_pages(spark, sf):
+    """Pages read back from a store that first held the lower half of the items."""
+    store = f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
+    items = V.items(spark, sf)
+    for rows in (items.filter("view < 3000"), items):
+        K.publish_pages(spark, K.pages(rows, "source", [F.desc("view"), "item_id"], ["item_id", "title", "view"]), store, "source")
+    return K.read_pages(spark, store).select("stream", "page", "n", F.sha2("body", 256).alias("body_sha256"))
+
+
 @query("public_projection", ["flagged"], """SELECT item_id, title, owner_id, view, coin, fav, like_cnt, duration, strftime(pub_ts, '%Y%m%d') AS pub_day, strftime(pub_ts, '%Y%m%d') AS first_seen, category, round(pct, 6) AS pct, ref_n, flags AS screen_flags, cues AS motive_cues FROM flagged""")
 def public_projection(spark, sf):
     day = F.date_format("pub_ts", "yyyyMMdd")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..commits import Commits
+
 # Counters stay text until they are checked, so "true", "NaN" and null are told apart from numbers.
 ITEM_TYPE = (
     "struct<item_id:string,title:string,owner:string,owner_id:string,category:string,source:string,duration:bigint,"
@@ -105,18 +109,94 @@ def anonymise(value: Column, prefix: str) -> Column:
     return F.substring(F.sha1(F.concat(F.lit(prefix), value.cast("string"))), 1, 10)
 
 
-def manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """File name and SHA-256 of the content per file."""
+#: Files up to this size are digested whole by the JVM; larger ones are read in pieces of PIECE bytes.
+WHOLE_BYTES = 64 << 20
+PIECE = 4 << 20
+
+
+def kept_paths(spark: SparkSession, folder: str, cutoff: str | None = None) -> list[str]:
+    """Paths of the capture files to read, by key and name: derived products and files after the cutoff day are left out.
+
+    Only the listing is read, which Spark holds on the driver for any scan.
+    """
+    paths = spark.read.text(folder).inputFiles()
+    names = spark.createDataFrame([(p, unquote(p.rsplit("/", 1)[-1])) for p in paths], "path string, name string")
+    return [r["path"] for r in keep_files(names, "name", cutoff).orderBy("capture_key", "name", "path").collect()]
+
+
+def scan_captures_until(spark: SparkSession, folder: str, cutoff: str | None = None, whole_files: bool = False) -> DataFrame:
+    """`scan_captures` over the files of `kept_paths` alone; the others are not part of the plan."""
+    paths = kept_paths(spark, folder, cutoff)
+    if not paths:
+        return spark.createDataFrame([], f"meta struct<collected_at:string,arm:string>, file string, video {ITEM_TYPE}")
+    return scan_captures(spark, paths, whole_files=whole_files)
+
+
+def _streamed_digests(batches):
+    """(path, sha256) of files read piece by piece; a task holds one piece at a time."""
+    import hashlib
+
+    import pandas as pd
+    import pyarrow.fs as fs
+
+    for batch in batches:
+        found = []
+        for path in batch["path"]:
+            address = path if "://" in path else path.replace("file:/", "file:///", 1)
+            store, inner = fs.FileSystem.from_uri(address)
+            digest = hashlib.sha256()
+            with store.open_input_stream(inner) as stream:
+                while piece := stream.read(PIECE):
+                    digest.update(piece)
+            found.append(digest.hexdigest())
+        yield pd.DataFrame({"path": batch["path"], "sha256": found})
+
+
+def manifest(spark: SparkSession, path: str, glob: str = "*", cutoff: str | None = None, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """File name and SHA-256 of the content per file up to the cutoff day; a file of any size takes bounded memory.
+
+    Files are told apart by name. Larger files need a store that Arrow can open (local, HDFS, S3, GCS); files up to `whole_bytes` only one that Spark can.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))
+    small = files.filter(F.col("length") <= whole_bytes).select("path", F.sha2("content", 256).alias("sha256"))
+    large = files.filter(F.col("length") > whole_bytes).select("path").mapInPandas(_streamed_digests, "path string, sha256 string")
+    name = F.element_at(F.split("path", "/"), -1).alias("file")
+    # A scan leaves empty files out; its listing has them.
+    listed = spark.createDataFrame([(unquote(p.rsplit("/", 1)[-1]),) for p in files.inputFiles()], "file string")
+    empty = listed.join(files.select(name), "file", "left_anti").withColumn("sha256", F.sha2(F.lit("").cast("binary"), 256))
+    named = small.unionByName(large).select(name, "sha256").unionByName(empty)
+    return named if cutoff is None else keep_files(named, "file", cutoff).drop("capture_key")
+
+
+def freeze(spark: SparkSession, actual: DataFrame, store: str, cutoff: str | None = None) -> None:
+    """Store a manifest and its cutoff as the next version below `store`; earlier versions stay."""
+    commits = Commits(spark, store)
+    number, name = commits.last()[0] + 1, f"manifest-{uuid.uuid4().hex}"
+    actual.select("file", "sha256").write.parquet(commits.folder(name))
+    commits.put(number, {"folders": [name], "cutoff": cutoff})
+
+
+def frozen(spark: SparkSession, store: str, version: int | None = None) -> tuple[DataFrame, str | None] | None:
+    """(manifest, cutoff) of the newest or the given version; None before the first."""
+    commits = Commits(spark, store)
+    number = commits.last()[0] if version is None else version
+    if number < 0:
+        return None
+    content = commits.read(number)
+    return spark.read.schema("file string, sha256 string").parquet(commits.folder(content["folders"][0])), content["cutoff"]
 
 
 def manifest_problems(actual: DataFrame, stored: DataFrame) -> DataFrame:
     """Files that are missing, new or changed against the stored manifest."""
+    return manifest_report(actual, stored).filter("problem is not null")
+
+
+def manifest_report(actual: DataFrame, stored: DataFrame) -> DataFrame:
+    """(file, sha256, stored, problem) of all files on either side; problem is null where both agree."""
     s = stored.select("file", F.col("sha256").alias("stored"))
     both = actual.join(s, "file", "full_outer")
     return both.withColumn("problem", F.when(F.col("stored").isNull(), "new").when(F.col("sha256").isNull(), "missing").when(
-        F.col("sha256") != F.col("stored"), "changed")).filter("problem is not null")
+        F.col("sha256") != F.col("stored"), "changed"))
 
 
 def check_manifest(actual: DataFrame, stored: DataFrame) -> None:
@@ -124,3 +204,14 @@ def check_manifest(actual: DataFrame, stored: DataFrame) -> None:
     bad = manifest_problems(actual, stored).limit(5).collect()
     if bad:
         raise ValueError(f"frozen reference changed: {[(r['file'], r['problem']) for r in bad]}")
+
+
+def check_frozen(spark: SparkSession, folder: str, store: str, cutoff: str | None = None, glob: str = "*") -> None:
+    """Refuse a folder whose cutoff or files differ from the manifest of an earlier run."""
+    earlier = frozen(spark, store)
+    if earlier is None:
+        raise ValueError(f"nothing was frozen below {store}")
+    stored, was = earlier
+    if was != cutoff:
+        raise ValueError(f"frozen reference changed: cutoff {was} became {cutoff}")
+    check_manifest(manifest(spark, folder, glob, cutoff), stored)

@@ -176,3 +176,89 @@ def test_shared_tables_follow_their_input(spark, tmp_path):
     outside = spark.read.parquet(f"{folder}/a.parquet")
     drop_stage(outside)
     assert outside.count() == 3
+
+
+def test_files_after_the_cutoff_are_not_scanned(spark, tmp_path):
+    for name in ("capture_20240101.json", "zz_20240102_120000.json", "capture_20240103.json", "capture_20240101_analysis.json", "merged_20240101.json", "bare.json"):
+        write(tmp_path / name, {"videos": [item(name, **FULL)]})
+    (tmp_path / "late_20240105.json").write_text("{broken", encoding="utf-8")
+
+    def names(cutoff):
+        return [p.rsplit("/", 1)[-1] for p in C.kept_paths(spark, str(tmp_path), cutoff)]
+
+    assert names("20240102") == ["bare.json", "capture_20240101.json", "zz_20240102_120000.json"]
+    assert len(names("20240101")) == 2 and names("20240103")[-1] == "capture_20240103.json"
+    got = C.scan_captures_until(spark, str(tmp_path), "20240102")
+    assert len(got.inputFiles()) == 3 and got.count() == 3  # the broken file is never opened
+    assert C.scan_captures_until(spark, str(tmp_path), "2000").columns == got.columns
+
+
+def test_captures_partitioned_by_name_are_pruned(spark, tmp_path):
+    df = spark.createDataFrame([(1, "capture_20240101"), (2, "capture_20240201"), (3, "capture_20240101_analysis")], "a int, capture string")
+    df.write.partitionBy("capture").parquet(str(tmp_path / "t"))
+    kept = C.keep_files(spark.read.parquet(str(tmp_path / "t")), "capture", "20240115")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "_analysis" in plan.split("PartitionFilters: [")[1].split("ReadSchema")[0]
+    assert [r["a"] for r in kept.collect()] == [1]
+
+
+def test_large_files_are_digested_in_pieces(spark, tmp_path):
+    import hashlib
+
+    data = {"a b.bin": b"x" * 10, "large.bin": bytes(range(256)) * 40_000, "empty.bin": b""}
+    for name, body in data.items():
+        (tmp_path / name).write_bytes(body)
+    got = {r["file"]: r["sha256"] for r in C.manifest(spark, str(tmp_path), whole_bytes=1000).collect()}
+    assert got == {n: hashlib.sha256(b).hexdigest() for n, b in data.items()}
+
+
+def test_frozen_manifest_of_an_earlier_run(spark, tmp_path):
+    folder, store = tmp_path / "in", str(tmp_path / "store")
+    folder.mkdir()
+    for day in ("20240101", "20240102", "20240301"):
+        write(folder / f"capture_{day}.json", "[]")
+    with pytest.raises(ValueError, match="nothing"):
+        C.check_frozen(spark, str(folder), store, "20240131")
+    C.freeze(spark, C.manifest(spark, str(folder), cutoff="20240131"), store, "20240131")
+    write(folder / "capture_20240401.json", "[]")  # after the cutoff: not part of the reference
+    C.check_frozen(spark, str(folder), store, "20240131")
+    with pytest.raises(ValueError, match="cutoff"):
+        C.check_frozen(spark, str(folder), store, "20240228")
+    write(folder / "capture_20240101.json", "[1]")
+    (folder / "capture_20240102.json").unlink()
+    write(folder / "capture_20240110.json", "[]")
+    bad = C.manifest_problems(C.manifest(spark, str(folder), cutoff="20240131"), C.frozen(spark, store)[0])
+    assert {r["file"]: r["problem"] for r in bad.collect()} == {
+        "capture_20240101.json": "changed", "capture_20240102.json": "missing", "capture_20240110.json": "new"}
+    with pytest.raises(ValueError, match="changed"):
+        C.check_frozen(spark, str(folder), store, "20240131")
+    C.freeze(spark, C.manifest(spark, str(folder), cutoff="20240131"), store, "20240131")
+    C.check_frozen(spark, str(folder), store, "20240131")
+    assert C.frozen(spark, store, 0)[0].count() == 2
+
+
+def test_published_pages_are_written_once_and_purged(spark, tmp_path):
+    store = str(tmp_path / "site")
+
+    def publish(rows, **how):
+        return SK.publish_pages(spark, SK.pages(rows, "stream", ["item_id"], ["item_id", "title"]), store, "stream", **how)
+
+    def bodies():
+        return {r["page"]: r["body"] for r in SK.read_pages(spark, store).collect()}
+
+    rows = spark.range(300).select(F.col("id").alias("item_id"), F.lit("s").alias("stream"), F.lit("t").alias("title"))
+    assert SK.read_pages(spark, store) is None
+    assert publish(rows) == {"written": 4, "purged": 0}
+    before = sorted(p for p in (tmp_path / "site").rglob("*"))
+    assert publish(rows) == {"written": 0, "purged": 0}
+    assert before == sorted(p for p in (tmp_path / "site").rglob("*"))
+    changed = rows.withColumn("title", F.when(F.col("item_id") == 100, "new").otherwise(F.col("title")))
+    assert publish(changed, keep_previous=True) == {"written": 1, "purged": 0}
+    assert "100|new" in bodies()[1] and len(bodies()) == 4
+    gone = changed.filter("item_id <> 200")  # this page and those after it
+    assert publish(gone) == {"written": 2, "purged": 3}
+    assert sum(b.count("\n") + 1 for b in bodies().values()) == 299
+    texts = "\n".join(r["body"] for r in spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(
+        *[str(p) for p in (tmp_path / "site" / "data").glob("bodies-*")]).collect())
+    assert "200|t" not in texts and "100|t" not in texts.split("\n")
+    assert publish(rows.filter("item_id < 0"))["written"] == 0 and bodies() == {}
