@@ -104,6 +104,29 @@ def hop_summary(walk: DataFrame) -> DataFrame:
         F.count_if("in_pool").alias("pool_n"), F.count_if("chosen").alias("chosen"), F.min(F.when(F.col("chosen"), F.col("item_id"))).alias("least_chosen"))
 
 
+def hop_requests(walk: DataFrame, policies: Sequence[Policy] = POLICIES) -> DataFrame:
+    """(policy, seed, hop, requests, finds): one request per frontier item of a hop, also where it reached nothing new."""
+    hops = hop_summary(walk).select(*KEY, "hop", "tops", "chosen")
+    first = hops.select(*KEY).distinct().select(*KEY, F.lit(1).cast("long").alias("hop"), F.lit(1).cast("long").alias("requests"))
+    later = hops.filter((F.col("chosen") > 0) & (F.col("hop") < _by_policy(policies, "cap"))).select(
+        *KEY, (F.col("hop") + 1).alias("hop"), F.col("chosen").alias("requests"))
+    return first.unionByName(later).join(hops.drop("chosen"), [*KEY, "hop"], "left").select(
+        *KEY, "hop", "requests", F.coalesce("tops", F.lit(0)).cast("long").alias("finds"))
+
+
+def hop_efficiency(requests: DataFrame) -> DataFrame:
+    """Finds per request of each policy and hop: how the yield falls along the walk."""
+    return requests.groupBy("policy", "hop").agg(F.sum("requests").alias("requests"), F.sum("finds").alias("finds")).withColumn(
+        "finds_per_request", F.col("finds") / F.col("requests"))
+
+
+def best_flows(requests: DataFrame, n: int = 8) -> DataFrame:
+    """The n flows with most finds per request; ties go to more finds, then to policy and seed."""
+    flows = requests.groupBy(*KEY).agg(F.sum("requests").alias("requests"), F.sum("finds").alias("finds"))
+    return flows.withColumn("finds_per_request", F.col("finds") / F.col("requests")).orderBy(
+        F.desc("finds_per_request"), F.desc("finds"), *KEY).limit(n)
+
+
 def walk_status(walk: DataFrame, policies: Sequence[Policy] = POLICIES, budget: int | None = None) -> DataFrame:
     """Depth and status per (policy, seed): censored at the cap or by budget, else dry/pruned where supply ended."""
     ends = walk.groupBy(*KEY).agg(F.max("hop").alias("depth"), F.count_if(F.col("ptier") == "top").alias("tops"), F.count("*").alias("nodes"), F.max("spent").alias("_spent"),

@@ -148,6 +148,11 @@ def closest_line() -> Column:
         for n, line in (("like", 0.20), ("coin", 0.02), ("fav", 0.10))]))
 
 
+def topic_named(normal: Column, topics: Sequence[str] = P.TOPIC_NAMES) -> Column:
+    """Whether a folded title names one of the topics, given as patterns; an empty list names none."""
+    return normal.rlike("|".join(f"(?:{t})" for t in topics)) if topics else F.lit(False)
+
+
 def review_cell() -> Column:
     fired, view, dur = signature(), F.col("view"), S.zero("duration")
     sincerity = F.try_divide(F.col("coin_rate"), F.col("fav_rate"))

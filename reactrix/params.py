@@ -146,10 +146,22 @@ class FeedRules:
     official_column: str | None = None
 
 
+# Named works and characters whose titles stay out of the catalogue, as patterns over folded titles.
+TOPIC_NAMES = (
+    "原神", "崩坏", "星穹", "星铁", "绝区零", "未定事件簿", "明日方舟", "蔚蓝档案", "碧蓝档案", r"blue\s*archive",
+    "碧蓝航线", "少女前线", "公主连结", "fgo", r"fate\s*(?:/|系列|zero|stay)", "阴阳师", "战双", "鸣潮", "重返未来",
+    "无期迷途", "第五人格", "偶像梦幻祭", "忘川风华录", "7日之都", "七日之都", "7都", "pjsk", "プロセカ", "世界计划", "边狱巴士", "limbus", "逆转裁判", "弹丸论破",
+    "赛马娘", "东方project", "车万", "一目连", "茨木", "酒吞", "大天狗", "玉藻前", "妖刀姬", "御馔津", "彼岸花",
+    "派蒙", "雷电将军", "钟离", "可莉", "胡桃", "甘雨", "芙宁娜", "纳西妲", "阿米娅", "凯尔希", "斯卡蒂", "史尔特尔",
+    "璃月", "蒙德", "稻妻", "须弥", "枫丹", "纳塔", "开拓者", "旅行者", "愚人众", "执行官",
+)
+
+
 @dataclass(frozen=True)
 class ScreenRules:
     """Title word lists used for routing a catalogue row to review."""
 
+    topics: tuple = TOPIC_NAMES
     cues: tuple = MOTIVE_CUES
     title_words: tuple = TITLE_REVIEW_WORDS
     short_max: int = 150
@@ -166,7 +178,7 @@ class Driver:
     feed: FeedRules = field(default_factory=lambda: FeedRules(
         block=("^red.*(rod|anvil)$", "^hot b"), begging=("small .{0,6}ring", "new g"), whitelist=("URGENT",)))
     screen: ScreenRules = field(default_factory=lambda: ScreenRules(
-        cues=("hot", "cold", "old", "plate", "ring"), title_words=("anvil", "large bolt")))
+        topics=("thorre", "eauque", "ungen", r"blue\s*eth"), cues=("hot", "cold", "old", "plate", "ring"), title_words=("anvil", "large bolt")))
 
 
 DRIVER = Driver()

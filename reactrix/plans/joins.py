@@ -259,6 +259,21 @@ def frontier_status(spark, sf):
     return G.walk_status(walk(spark, sf))
 
 
+REQUESTS = walk_sql(25).replace(" SELECT policy, seed, CAST(1", ", hops AS MATERIALIZED (SELECT policy, seed, CAST(1", 1) + f"""), requests AS (SELECT policy, seed, hop, requests, coalesce(tops, 0) AS finds FROM (
+  SELECT DISTINCT policy, seed, 1::BIGINT AS hop, 1::BIGINT AS requests FROM hops UNION ALL SELECT policy, seed, hop + 1, chosen FROM hops JOIN {POLICY_VALUES} USING (policy) WHERE chosen > 0 AND hop < cap) LEFT JOIN hops USING (policy, seed, hop))"""
+YIELD = "CAST(sum(requests) AS BIGINT) AS requests, CAST(sum(finds) AS BIGINT) AS finds, round(sum(finds) * 1e0 / sum(requests), 6) AS finds_per_request"
+
+
+@query("hop_efficiency", ["seeds18", "related", "ptiers"], f"{REQUESTS} SELECT policy, hop, {YIELD} FROM requests GROUP BY policy, hop")
+def hop_efficiency(spark, sf):
+    return G.hop_efficiency(G.hop_requests(walk(spark, sf)))
+
+
+@query("best_flows", ["seeds18", "related", "ptiers"], f"{REQUESTS} SELECT policy, seed, {YIELD} FROM requests GROUP BY policy, seed ORDER BY sum(finds) * 1e0 / sum(requests) DESC, finds DESC, policy, seed LIMIT 8")
+def best_flows(spark, sf):
+    return G.best_flows(G.hop_requests(walk(spark, sf)))
+
+
 @query("frontier_three_hops", ["seeds18", "related", "ptiers"], walk_sql(3))
 def frontier_three_hops(spark, sf):
     return G.hop_summary(walk(spark, sf, depth=3))

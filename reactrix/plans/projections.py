@@ -338,12 +338,14 @@ def title_number_flag(spark, sf):
     return V.documents(spark, sf).select("doc_id", T.number_flag(T.folded("text")).alias("flag"))
 
 
-@query("topic_name_flag", [], "SELECT doc_id, regexp_matches(lower(text), 'thorre|eauque|ungen|blue\\s*eth') AS flagged FROM documents")
+SCREEN = DRIVER.screen
+
+
+@query("topic_name_flag", [], f"SELECT doc_id, regexp_matches(lower(text), '{'|'.join(SCREEN.topics)}') AS flagged FROM documents")
 def topic_name_flag(spark, sf):
-    return V.documents(spark, sf).select("doc_id", T.folded("text").rlike(r"thorre|eauque|ungen|blue\s*eth").alias("flagged"))
+    return V.documents(spark, sf).select("doc_id", R.topic_named(T.folded("text"), SCREEN.topics).alias("flagged"))
 
 
-SCREEN = DRIVER.screen
 CUES_SQL = "concat_ws(';', " + ", ".join(f"CASE WHEN contains(title, '{w}') THEN '{w}' END" for w in SCREEN.cues) + ")"
 FLAGS_SQL = f"concat_ws(';', CASE WHEN duration <= 150 THEN 'short' END, CASE WHEN {likes('title', SCREEN.title_words)} THEN 'title_review' END, CASE WHEN {SIG} THEN 'interaction_review' END)"
 shared_sql("flagged", ["banded"], f"SELECT *, {CUES_SQL} AS cues, {FLAGS_SQL} AS flags FROM banded")

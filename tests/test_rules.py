@@ -98,3 +98,23 @@ def test_categories_verdicts_and_approval(spark):
     df = spark.createDataFrame([(1, "神作"), (2, "不可能神作，优秀"), (3, "教程"), (4, "低创神作"), (5, "嗯"), (6, "神作但辛苦")], "i int, v string")
     assert [r[0] for r in df.select(R.verdict_group("v")).collect()] == ["top", "fine", "utility", "reject", "unclear", "top"]
     assert [r[0] for r in df.select(R.approved_positive("v", "i")).collect()] == [True, False, False, True, False, False]
+
+
+def test_topics_are_a_parameter(spark):
+    from reactrix.functions import titles as T
+
+    df = spark.createDataFrame([("ＢＬＵＥ  Archive 1",), ("blue eth",), ("a b",), (None,)], "t string")
+    got = [tuple(r) for r in df.select(R.topic_named(T.folded("t")), R.topic_named(T.folded("t"), ("a b", "eth$")), R.topic_named(T.folded("t"), ())).collect()]
+    assert got == [(True, False, False), (False, True, False), (False, True, False), (False, False, False)]
+
+
+def test_requests_count_hops_that_reach_nothing(spark):
+    from reactrix.operators import graph as G
+
+    policy = G.POLICIES[0].name
+    rows = [(policy, 1, 1, 10, "top", True), (policy, 1, 1, 11, "top", True), (policy, 1, 1, 12, "fine", False), (policy, 2, 1, 20, "fine", False)]
+    walk = spark.createDataFrame([(*r[:5], True, 1, r[5]) for r in rows], "policy string, seed long, hop long, item_id long, ptier string, in_pool boolean, spent long, chosen boolean")
+    got = G.hop_requests(walk)
+    assert sorted(tuple(r) for r in got.collect()) == [(policy, 1, 1, 1, 2), (policy, 1, 2, 2, 0), (policy, 2, 1, 1, 0)]
+    assert [tuple(r) for r in G.hop_efficiency(got).orderBy("hop").collect()] == [(policy, 1, 2, 2, 1.0), (policy, 2, 2, 0, 0.0)]
+    assert [(r["seed"], r["finds"], r["requests"]) for r in G.best_flows(got).collect()] == [(1, 2, 3), (2, 0, 1)]
