@@ -12,7 +12,7 @@ NAMES = ("weighted_ratio_score", "feed_verdict_variants", "percentile_tier_table
          "layer_novelty", "pool_merge", "frontier_three_hops", "normalize_item", "catalog_fingerprint", "naive_bayes_predict", "title_number_flag", "stream_feed_verdict",
          "backfill_incomplete", "new_item_antijoin", "caliper_candidates", "caliper_matching", "daily_new_items", "verdict_cache_ttl", "reference_overlap",
          "neighbourhood_vs_band_percentile", "two_level_chain", "user_flow_strength", "backfill_targets", "catalog_build", "noise_interval_check", "paired_effect",
-         "matched_audit_report", "pooled_hop_summary")
+         "matched_audit_report", "pooled_hop_summary", "published_pages", "capture_files_until", "topic_name_flag")
 
 
 @pytest.fixture(scope="module")
