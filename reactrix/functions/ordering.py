@@ -117,48 +117,84 @@ def midranks(df: DataFrame, groups: Sequence[str], value: str, tie: str, out: st
 
 def quantiles(
     df: DataFrame, groups: Sequence[str], measures: Mapping[str, Column | str], probs: Mapping[str, float],
-    tie: Sequence[str] = ("item_id",), method: str = "linear",
+    method: str = "linear", accuracy: int = 2000, small: int = 4096,
 ) -> DataFrame:
     """Exact quantiles, one column `<prob>_<measure>` each, plus `n` (largest non-null count of the group).
 
     linear: numpy's interpolation at p*(n-1).  upper: the sorted value at index floor(p*n).
-    The wanted global positions are a table of groups x measures x probs; the join is on the unique position.
+    Selection by bracketing: a mergeable sketch of rank error n/accuracy brackets each wanted rank, one counting pass keeps
+    values inside a bracket as they are and counts the rows between brackets, and only that histogram is sorted.  Groups of
+    up to `small` values are bracketed whole.  A rank that fell between brackets would repeat the selection on all values.
     """
     groups = list(groups)
-    structs = [
-        F.struct(F.lit(name).alias("_measure"), (F.col(c) if isinstance(c, str) else c).cast("double").alias("_value"))
-        for name, c in measures.items()
-    ]
-    long = df.select(*groups, *tie, F.explode(F.array(*structs)).alias("_m")).select(
-        *groups, *tie, "_m._measure", "_m._value").filter(F.col("_value").isNotNull())
-    laid = range_layout(long, [*groups, "_measure", "_value", *tie])
-    spans = laid.groupBy(*groups, "_measure").agg(F.min("_pos").alias("start"), F.count(F.lit(1)).alias("n"))
-    wanted = spans.select("*", F.explode(F.array(*[
-        F.struct(F.lit(label).alias("_prob"), F.lit(float(p)).alias("p")) for label, p in probs.items()])).alias("_q"))
-    if method == "linear":
-        x = F.col("_q.p") * (F.col("n") - 1)
-        lo, frac = F.floor(x), x - F.floor(x)
-        hi = F.ceil(x)
-    elif method == "upper":
-        lo = hi = F.least(F.floor(F.col("_q.p") * F.col("n")), F.col("n") - 1)
-        frac = F.lit(0.0)
-    else:
-        raise ValueError(method)
-    picks = wanted.select(
-        *groups, "_measure", "n", F.col("_q._prob").alias("_prob"),
-        F.explode(F.array(
-            F.struct((F.col("start") + lo).alias("at"), (1.0 - frac).alias("_share")),
-            F.struct((F.col("start") + hi).alias("at"), frac.alias("_share")))).alias("_w"),
-    ).select(*groups, "_measure", "n", "_prob", F.col("_w.at").alias("_pos"), F.col("_w._share").alias("_share"))
-    found = laid.select("_pos", "_value").join(picks.filter("_share > 0"), "_pos")
-    solved = found.groupBy(*groups, "_measure", "_prob").agg(
-        F.sum(F.col("_value") * F.col("_share")).alias("q"), F.max("n").alias("n"))
+    flat = df.select(*groups, *[(F.col(c) if isinstance(c, str) else c).cast("double").alias(f"_v{i}") for i, c in enumerate(measures.values())])
+    margin = 2.0 / accuracy
+    cuts = [min(max(p + side, 0.0), 1.0) for p in probs.values() for side in (-margin, margin)]
+    sketch = flat.groupBy(*groups).agg(*[c for i in range(len(measures)) for c in (
+        F.count(f"_v{i}").alias(f"_n{i}"), F.percentile_approx(f"_v{i}", cuts, accuracy).alias(f"_s{i}"))])
+    marked = _beside(flat, stage(sketch, "brackets"), groups)
+    picks = _picks(_histogram(marked, groups, list(measures), len(cuts), small), groups, probs, method)
+    if not picks.filter("_gap > 0").isEmpty():
+        picks = _picks(_histogram(marked, groups, list(measures), 0, small), groups, probs, method)
+    solved = picks.groupBy(*groups, "_measure", "_prob").agg(F.sum(F.col("_value") * F.col("_share")).alias("q"), F.max("n").alias("n"))
     return solved.groupBy(*groups).agg(
         F.max("n").alias("n"),
         *[F.max(F.when((F.col("_measure") == m) & (F.col("_prob") == label), F.col("q"))).alias(f"{label}_{m}")
           for m in measures for label in probs])
 
 
+def _beside(big: DataFrame, small: DataFrame, groups: Sequence[str], limit: int = 200_000) -> DataFrame:
+    """Rows with the columns of their group's row in a stored table; null keys meet null keys."""
+    if not groups:  # one row
+        row = small.first()
+        return big.withColumns({f.name: F.lit(row[f.name]).cast(f.dataType) for f in small.schema})
+    few = small.count() <= limit
+    named = small.withColumnsRenamed({g: f"_k_{g}" for g in groups})
+    on = [F.col(g).eqNullSafe(F.col(f"_k_{g}")) for g in groups]
+    return big.join(F.broadcast(named) if few else named.hint("merge"), on).drop(*[f"_k_{g}" for g in groups])
+
+
+def _histogram(marked: DataFrame, groups: Sequence[str], names: Sequence[str], cuts: int, small: int) -> DataFrame:
+    """(groups, _measure, _value, _gap, _held): values inside a bracket, and one row per gap, placed after the bracket below it.
+
+    Without cuts every value is kept.
+    """
+    cells = []
+    for i, name in enumerate(names):
+        v, s = F.col(f"_v{i}"), F.col(f"_s{i}")
+        inside, below = F.lit(not cuts) | (F.col(f"_n{i}") <= small), [F.lit(None).cast("double")] * 2
+        for j in range(0, cuts, 2):
+            inside = inside | ((v >= s[j]) & (v <= s[j + 1]))
+            below.append(F.when(v > s[j + 1], s[j + 1]))
+        cells.append(F.when(v.isNotNull(), F.struct(
+            F.lit(name).alias("_measure"), F.when(inside, v).otherwise(F.greatest(*below)).alias("_value"),
+            F.when(inside, F.lit(0)).otherwise(F.lit(1)).alias("_gap"))))
+    long = marked.select(*groups, F.explode(F.array(*cells)).alias("_m")).filter(F.col("_m").isNotNull())
+    return long.select(*groups, "_m.*").groupBy(*groups, "_measure", "_value", "_gap").agg(F.count(F.lit(1)).alias("_held"))
+
+
+def _picks(histogram: DataFrame, groups: Sequence[str], probs: Mapping[str, float], method: str) -> DataFrame:
+    """(groups, _measure, _prob, n, _value, _gap, _share): the histogram rows that hold the wanted ranks."""
+    laid = range_layout(histogram, [*groups, "_measure", "_value", "_gap"], ["_held"])
+    keys = [*groups, "_measure"]
+    spans = laid.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.min("_cum__held").alias("_start"), F.sum("_held").alias("n"))
+    rows = laid.join(spans, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]).withColumn("_low", F.col("_cum__held") - F.col("_start"))
+    wants = []
+    for label, p in probs.items():
+        if method == "linear":
+            x = F.lit(float(p)) * (F.col("n") - 1)
+            lo, hi, frac = F.floor(x), F.ceil(x), x - F.floor(x)
+        elif method == "upper":
+            lo = hi = F.least(F.floor(F.lit(float(p)) * F.col("n")), F.col("n") - 1)
+            frac = F.lit(0.0)
+        else:
+            raise ValueError(method)
+        wants += [F.struct(F.lit(label).alias("_prob"), at.alias("_at"), share.alias("_share")) for at, share in ((lo, 1.0 - frac), (hi, frac))]
+    here = F.filter(F.array(*wants), lambda w: (w["_share"] > 0) & (w["_at"] >= F.col("_low")) & (w["_at"] < F.col("_low") + F.col("_held")))
+    return stage(rows.select(*groups, "_measure", "n", "_value", "_gap", F.explode(here).alias("_w")).select(
+        *groups, "_measure", "n", "_value", "_gap", "_w._prob", "_w._share"), "picks")
+
+
 def top_per_group(df: DataFrame, groups: Sequence[str], order: Sequence, k: int, out: str = "rn") -> DataFrame:
     """First k rows per group; Spark prunes each partition to k rows per group before the shuffle."""
     window = Window.partitionBy(*groups).orderBy(*_keys(order))

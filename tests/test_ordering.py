@@ -75,6 +75,64 @@ def test_quantiles_skip_nulls_and_count_each_group(spark):
     assert got == {"a": (2, 2.0), "b": (1, 7.0)}
 
 
+@pytest.fixture(scope="module")
+def wide(spark):
+    """60 000 values: a hot null-keyed group with a value held by a third, a normal group, a small group."""
+    rng = np.random.default_rng(8)
+    rows = [(i, None if i % 10 < 7 else ("b" if i % 10 < 9 or i > 9000 else "few"), 0.0 if i % 3 == 0 else float(v))
+            for i, v in enumerate(rng.normal(0, 5, 60000))]
+    frame = spark.createDataFrame(rows, "item_id long, g string, v double").repartition(16).cache()
+    yield frame, rows
+    frame.unpersist()
+
+
+PROBS = {"p0": 0.0, "p1": 0.01, "p25": 0.25, "p25b": 0.2504, "p50": 0.5, "p99": 0.99, "p100": 1.0}
+
+
+def check_wide(got, rows, method):
+    for g in {r[1] for r in rows}:
+        values = sorted(r[2] for r in rows if r[1] == g)
+        assert got[g]["n"] == len(values)
+        for name, p in PROBS.items():
+            want = np.quantile(values, p) if method == "linear" else values[min(int(p * len(values)), len(values) - 1)]
+            assert got[g][f"{name}_v"] == pytest.approx(want, abs=1e-12)
+
+
+@pytest.mark.parametrize("method", ["linear", "upper"])
+def test_bracketed_quantiles(wide, method):
+    frame, rows = wide
+    got = {r["g"]: r for r in O.quantiles(frame, ["g"], {"v": "v"}, PROBS, method=method).collect()}
+    check_wide(got, rows, method)
+
+
+def test_only_rows_inside_brackets_are_sorted(wide, monkeypatch):
+    frame, rows = wide
+    sizes = []
+    plain = O.range_layout
+    monkeypatch.setattr(O, "range_layout", lambda df, *a, **k: (sizes.append(df.count()), plain(df, *a, **k))[1])
+    got = O.quantiles(frame, [], {"v": "v"}, {"m": 0.5, "t": 0.9}).first()
+    assert len(sizes) == 1 and sizes[0] < 600  # of 60 000 values
+    values = [r[2] for r in rows]
+    assert (got["n"], got["m_v"], got["t_v"]) == (60000, pytest.approx(np.median(values)), pytest.approx(np.quantile(values, 0.9)))
+
+
+def test_missed_brackets_are_repeated_whole(spark, wide, monkeypatch):
+    """A sketch that points at the wrong place costs a second pass, never a wrong quantile."""
+    frame, rows = wide
+    plain = F.percentile_approx
+    monkeypatch.setattr(F, "percentile_approx", lambda c, cuts, accuracy: plain(c, [min(1.0, x + 0.3) for x in cuts], accuracy))
+    got = {r["g"]: r for r in O.quantiles(frame, ["g"], {"v": "v"}, PROBS).collect()}
+    check_wide(got, rows, "linear")
+
+
+def test_quantiles_of_nothing_and_of_nan(spark):
+    empty = spark.createDataFrame([], "item_id long, g string, v double")
+    assert O.quantiles(empty, [], {"v": "v"}, {"m": 0.5}).first().asDict() == {"n": None, "m_v": None}
+    assert O.quantiles(empty, ["g"], {"v": "v"}, {"m": 0.5}).count() == 0
+    nan = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, float("nan"))], "item_id long, v double")
+    assert O.quantiles(nan, [], {"v": "v"}, {"m": 0.5}).first()["m_v"] == 2.0
+
+
 def test_midrank_and_rank_sum(spark):
     x, y = [3.0, 4.0, 4.0, 6.0, 9.0, 9.0], [1.0, 2.0, 4.0, 5.0, 5.0, 2.0, 9.0]
     rows = [(i, v, True) for i, v in enumerate(x)] + [(100 + i, v, False) for i, v in enumerate(y)]
