@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,11 +22,11 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
-def stage(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write a frame as a Parquet table and read it back: cuts lineage and survives lost executors."""
+def stage(df: DataFrame, label: str = "stage", by: Sequence[str] = ()) -> DataFrame:
+    """Write a frame as a Parquet table and read it back: cuts lineage and survives lost executors. `by`: folders per value."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -58,10 +59,10 @@ def _listing(spark: SparkSession, sf_dir: str) -> tuple:
 _SHARED: dict[tuple, tuple[tuple, DataFrame]] = {}
 
 
-def shared_table(spark: SparkSession, sf_dir: str, label: str, build) -> DataFrame:
+def shared_table(spark: SparkSession, sf_dir: str, label: str, build, by: Sequence[str] = ()) -> DataFrame:
     """Table derived from the input once per application and state of the folder, then read by every query that needs it."""
     key = (spark.sparkContext.applicationId, id(spark), sf_dir, label)
     listing = _listing(spark, sf_dir)
     if key not in _SHARED or _SHARED[key][0] != listing:
-        _SHARED[key] = (listing, stage(build(), label))
+        _SHARED[key] = (listing, stage(build(), label, by))
     return _SHARED[key][1]
