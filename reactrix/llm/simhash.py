@@ -14,6 +14,8 @@ without words has fingerprint zero and links like any other. Fingerprints link a
   differ by 2 bits or fewer exactly if they share such a value, and at most 65 share one. So no cell lists its pairs,
   no link is lost, and the work grows with the rows.
 * Links are joined into components by alternating large-star and small-star.
+* Joins of this module are merge joins by hint: Spark sizes a task function's output by its input, so it takes the laid
+  nodes (up to 65 rows each) for a small table and would collect them in the driver to broadcast them.
 
 Null text counts as empty. A null id never names a component unless all its ids are null; its text still links. Repeated
 rows and ties share one fingerprint and component. A text of any length is hashed whole, in chunks of bounded memory.
@@ -127,9 +129,9 @@ def links(nodes: DataFrame, segments: int = SEGMENTS, crowd: int = CROWD) -> Dat
 
     laid = nodes.select("fp").mapInArrow(lay, "cell long, fp long")
     full = laid.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = stage(laid.join(full, "cell"), "grid")
+    members = stage(laid.hint("merge").join(full, "cell"), "grid")
     few = members.filter(F.col("n") <= crowd)
-    pairs = few.select("cell", F.col("fp").alias("u")).join(few.select("cell", F.col("fp").alias("v")), "cell").filter(
+    pairs = few.select("cell", F.col("fp").alias("u")).hint("merge").join(few.select("cell", F.col("fp").alias("v")), "cell").filter(
         (F.col("u") > F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS)).select("u", "v")
     values = members.filter(F.col("n") > crowd).select("cell", "fp").mapInArrow(shared_values, "value long, fp long")
     stars = values.groupBy("value").agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1)  # 65 at most
@@ -145,10 +147,10 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, segments: int = SEGMENT
     nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     edges = links(nodes, segments, crowd)
     found = components(edges).withColumnRenamed("node", "fp")
-    placed = stage(nodes.join(found, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "components")
+    placed = stage(nodes.hint("merge").join(found, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "components")
     drop_stage(edges)
     named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    rows = prints.join(placed.select("fp", "component"), "fp").join(named, "component")
+    rows = prints.hint("merge").join(placed.select("fp", "component"), "fp").hint("merge").join(named, "component")
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
                        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 

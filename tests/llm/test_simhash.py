@@ -109,6 +109,26 @@ def test_links_of_crowded_cells(spark):
         assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_no_join_broadcasts_by_a_task_functions_estimate(spark, monkeypatch):
+    """Spark sizes the laid nodes, up to 65 rows each, by the nodes: such a side must not go through the driver."""
+    plans, plain = [], simhash.stage
+
+    def kept(frame, *rest):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return plain(frame, *rest)
+
+    monkeypatch.setattr(simhash, "stage", kept)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        rows = simhash.near_duplicates(table(spark, awkward() + edited()))
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum("Join" in plan for plan in plans) == 4  # grid, links, components, result
+    assert not [plan for plan in plans if "Broadcast" in plan]
+
+
 def test_embedding_bounds_differing_bits():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 2**63, 500, dtype=np.uint64) * np.uint64(2), rng.integers(0, 2**63, 500, dtype=np.uint64)
