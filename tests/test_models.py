@@ -1,13 +1,21 @@
 """Matching, depth, walks and picks against brute force on small fixtures."""
 
+import time
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from reactrix.operators import depth as D
 from reactrix.operators import graph as G
 from reactrix.operators import matching as M
 from reactrix.operators import sampling as SM
+from reactrix.session import shared_dir
+from reactrix.sources import views
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def test_greedy_match_equals_serving_one_by_one(spark):
@@ -73,6 +81,52 @@ def test_depth_equals_numpy(spark):
         assert got[i]["orth"] == pytest.approx(np.linalg.norm(c[i] - p @ c[i]))
 
 
+def test_depth_is_the_same_spread_or_whole(spark):
+    rng = np.random.default_rng(12)
+    x, f7 = np.round(rng.normal(size=(90, 5)), 1), rng.uniform(size=80)  # ties
+    rows = [(i % 80, "ab"[i % 2], float(f7[i % 80]), *[None if i in (7, 8) and j == 2 else float(v) for j, v in enumerate(x[i])]) for i in range(90)]
+    df = spark.createDataFrame(rows, "item_id long, cell string, f7 double, " + ", ".join(f"x{i} double" for i in range(5))).coalesce(1)
+    xs = [f"x{i}" for i in range(5)]
+
+    def run(**how):
+        return {r["item_id"]: (r["depth"], r["dir"]) for r in D.directional_depth(df.filter("x2 is not null"), ["cell"], xs, **how).collect()}
+
+    whole, before = run(), {p.name for p in Path(shared_dir(spark)).iterdir()}
+    assert whole == run(whole=10, block=3) and len(whole) == 78  # a repeated id keeps its best row
+    after = {p.name for p in Path(shared_dir(spark)).iterdir()} - before
+    assert sum(n.startswith("best") for n in after) == 1  # each block's table replaces the one before
+    empty = D.directional_depth(df, ["cell"], xs).filter("item_id in (7, 8)").collect()
+    assert all(r["orth"] is None and r["depth"] in (None, 0.0) for r in empty)
+
+
+def test_stage_leaves_no_shuffle_files(spark):
+    from reactrix.session import stage
+
+    local = Path(spark.sparkContext.getConf().get("spark.local.dir", "/tmp"))
+
+    def files():
+        return set(local.glob("blockmgr-*/*/shuffle_*.data")) | set(local.glob("spark-*/blockmgr-*/*/shuffle_*.data"))
+
+    old = files()
+    assert stage(spark.range(1000).repartition(7), "t").count() == 1000
+    wait = time.monotonic() + 20
+    while files() - old and time.monotonic() < wait:
+        time.sleep(0.2)
+    assert not files() - old
+
+
+@pytest.mark.parametrize("name", ["formula_grid", "boost_sensitivity"])
+def test_orders_are_deleted_once_read(spark, name):
+    """No order with a row per formula, direction or compared measure stays; the ranks that formula rows carry do."""
+    folder = Path(shared_dir(spark))
+    views.scored(spark, SMALL)
+    before = {p.name for p in folder.iterdir()}
+    assert entry.queries()[name](spark, SMALL).count()
+    new = [p for p in folder.iterdir() if p.name not in before and p.name.startswith("ordered-")]
+    long = [p for p in new if {"subset", "dir", "m"} & set(spark.read.parquet(str(p)).columns)]
+    assert len(long) == (name == "formula_grid")
+
+
 def test_walk_visits_once_and_stops(spark):
     edges = spark.createDataFrame([(a, b, 1) for a in range(12) for b in range(12) if a != b and (b - a) % 12 <= 3], "src long, dst long, pos int")
     nodes = spark.createDataFrame([(i, "top" if i % 2 else "fine", i / 12, "1999-01-01") for i in range(12)], "item_id long, ptier string, pct double, d string").withColumn("pub_ts", F.col("d").cast("timestamp"))
