@@ -45,6 +45,39 @@ def test_candidates_respect_calipers(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("block", [3, 500_000])
+def test_nearest_candidates_match_the_listed_pairs(spark, block):
+    rng = np.random.default_rng(5)
+    rows = [(i, "gh"[i % 2], bool(i % 3 == 0), *map(float, np.round(rng.uniform(0, 2, 3), 1))) for i in range(150)]  # ties
+    rows += [(200, "g", True, 1.0, None, 1.0), (201, None, False, 1.0, 1.0, 1.0), rows[0], rows[1]]
+    df = spark.createDataFrame(rows, "item_id long, grp string, is_focal boolean, a double, b double, c double")
+    how = (["grp"], ["a", "b", "c"], (0.35, 0.6, 0.45))
+    listed = M.candidates(df, *how)
+    got = M.candidates(df, *how, nearest=2, block=block)
+    assert {(r["focal"], r["n"], r["near"]) for r in got.collect()} == {
+        tuple(r) for r in listed.groupBy("focal").agg(F.count("*"), F.min("dist")).collect()}
+    by = {}
+    for r in listed.collect():
+        by.setdefault(r["focal"], []).append((r["dist"], r["control"]))
+    assert {r["focal"]: [tuple(x) for x in r["links"]] for r in got.collect()} == {f: sorted(v)[:2] for f, v in by.items()}
+
+    asked = []
+
+    def further(short, k):
+        asked.append(k)
+        return M.candidates(df.filter("not is_focal").unionByName(df.filter("is_focal").join(short.select(F.col("focal").alias("item_id")).distinct(), "item_id", "left_semi")), *how, nearest=k)
+
+    matched = {tuple(r) for r in M.greedy_match(got, ["grp"], further, 2).collect()}
+    used, want = set(), set()
+    for _, _, f in sorted((len(v), min(v)[0], f) for f, v in by.items()):
+        for d, c in sorted(by[f]):
+            if c not in used:
+                used.add(c)
+                want.add((f, c, d))
+                break
+    assert matched == want and asked
+
+
 def test_paired_effect(spark):
     rng = np.random.default_rng(2)
     pairs = [("r", i, i // 3, float(v)) for i, v in enumerate(rng.normal(1, 2, 60))]
@@ -84,7 +117,7 @@ def test_depth_equals_numpy(spark):
 def test_depth_is_the_same_spread_or_whole(spark):
     rng = np.random.default_rng(12)
     x, f7 = np.round(rng.normal(size=(90, 5)), 1), rng.uniform(size=80)  # ties
-    rows = [(i % 80, "ab"[i % 2], float(f7[i % 80]), *[None if i in (7, 8) and j == 2 else float(v) for j, v in enumerate(x[i])]) for i in range(90)]
+    rows = [(i % 80, "ab"[i % 2], float(f7[i % 80]), *[None if i in (40, 41) and j == 2 else float(v) for j, v in enumerate(x[i])]) for i in range(90)]
     df = spark.createDataFrame(rows, "item_id long, cell string, f7 double, " + ", ".join(f"x{i} double" for i in range(5))).coalesce(1)
     xs = [f"x{i}" for i in range(5)]
 
@@ -95,7 +128,7 @@ def test_depth_is_the_same_spread_or_whole(spark):
     assert whole == run(whole=10, block=3) and len(whole) == 78  # a repeated id keeps its best row
     after = {p.name for p in Path(shared_dir(spark)).iterdir()} - before
     assert sum(n.startswith("best") for n in after) == 1  # each block's table replaces the one before
-    empty = D.directional_depth(df, ["cell"], xs).filter("item_id in (7, 8)").collect()
+    empty = D.directional_depth(df, ["cell"], xs).filter("item_id in (40, 41)").collect()
     assert all(r["orth"] is None and r["depth"] in (None, 0.0) for r in empty)
 
 
